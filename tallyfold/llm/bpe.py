@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.session import bounded_batches
+from tallyfold.llm.session import bounded_batches, widened
 
 #: The published pattern by which this family of tokenizers cuts a text into words; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -193,8 +193,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
             ids = pa.array(bpe.encode_batch(batch.column(text).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, to])
 
-    schema = kept.schema.add(to, "binary")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, widened(kept, **{to: "binary"}))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -208,7 +207,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
             texts = pa.array([bpe.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, to])
 
-    return kept.mapInArrow(run, kept.schema.add(to, "string"))
+    return kept.mapInArrow(run, widened(kept, **{to: "string"}))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

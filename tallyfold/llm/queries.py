@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import ann, bpe, exact_topk, sharding, simhash, warc
+from tallyfold.llm import ann, bpe, exact_topk, langid, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     return exact_topk.exact_top_k(table, table.where("vec_id % 100 = 0"), 10)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     return ann.nearest(table, table.where("vec_id % 20 = 0"), 20)
@@ -48,7 +56,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_exact_topk": op2_exact_topk, "op4_ann": op4_ann, "op7_warc": op7_warc, "op8_bpe": op8_bpe, "op9_simhash": op9_simhash, "op10_sharding": op10_sharding}
+    named = (op1_langid, op2_exact_topk, op3_quality, op4_ann, op7_warc, op8_bpe, op9_simhash, op10_sharding)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no checkpoint folder, as in local tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
@@ -87,6 +88,14 @@ def _plain(path: str) -> str:
     return f"{scheme}:/{rest.lstrip('/')}" if colon else path
 
 
+def widened(df: DataFrame, **types: str) -> StructType:
+    """df's schema and further fields; the schema that df keeps stays as it is."""
+    found = StructType(list(df.schema.fields))
+    for name, kind in types.items():
+        found = found.add(name, kind)
+    return found
+
+
 def id_crc32(column: str = "doc_id"):
     """crc32 of an integer id written as text, the rule by which rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
