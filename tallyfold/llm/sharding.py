@@ -35,7 +35,7 @@ LONGEST_WALK = 64
 
 def bucket_sql(key: str) -> str:
     """The bucket of an integer key, in SQL."""
-    residue = f"((({key}) % {PRIME} + {PRIME}) % {PRIME})"
+    residue = f"((cast({key} as bigint) % {PRIME} + {PRIME}) % {PRIME})"
     return f"(({residue} * 48271) % {PRIME} % {BUCKETS})"
 
 
