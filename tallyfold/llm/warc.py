@@ -9,6 +9,7 @@ folder. Runs are then cut into key ranges, and each range is one k-way merge by
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from typing import Any
@@ -106,9 +107,10 @@ def records(pages: DataFrame, least_bytes: int = 0, captured_at: Column | None =
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, captured_at: Column | None = None) -> None:
-    """Write records() of pages as WARC files under path."""
+    """Write records() of pages as gzipped WARC files under path, each file one gzip stream."""
     found = records(pages, least_bytes, captured_at)
-    found.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    writer = found.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS)
+    writer.option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
@@ -188,12 +190,16 @@ def _run_of(path: str, data: bytes) -> list[dict[str, Any]]:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            if run := _run_of(path, data.as_py()):
+            if run := _run_of(path, _unpacked(data.as_py())):
                 yield pa.RecordBatch.from_pylist(run, pa.schema(CAPTURES))
 
 
+def _unpacked(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Sorted runs of captures, one per archive file under path."""
+    """Sorted runs of captures, one per archive file under path; offsets are those of the unpacked file."""
     bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(_runs, _CAPTURE_SCHEMA)
