@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import ann, bpe, exact_topk, langid, mixing, quality, sharding, simhash, warc
+from tallyfold.llm import ann, bpe, exact_topk, langid, mixing, passages, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"), mixing.Target(entropy=0.995))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(_table(spark, sf_dir, "pages"))
 
@@ -60,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_langid, op2_exact_topk, op3_quality, op4_ann, op5_mixing, op7_warc, op8_bpe, op9_simhash, op10_sharding)
+    named = (op1_langid, op2_exact_topk, op3_quality, op4_ann, op5_mixing, op6_passages, op7_warc, op8_bpe, op9_simhash, op10_sharding)
     return {f.__name__: f for f in named}
 
 
