@@ -15,6 +15,9 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints"
 #: Python stages get batches of at most so many rows and bytes, whatever the length of a text.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
+#: Rows of a few numbers up to which small() broadcasts a table: some MB.
+BROADCAST_ROWS = 400_000
+
 _written: list[str] = []
 
 
@@ -48,6 +51,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A materialised table of short rows, to be broadcast if it has at most BROADCAST_ROWS of them.
+
+    Beyond that Spark joins it as it finds best, by a shuffle.
+    """
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -63,13 +74,15 @@ def drop(*frames: DataFrame) -> None:
             _written.remove(path)
 
 
-def drop_unread(spark: SparkSession, df: DataFrame) -> None:
-    """Delete every scratch table that df doesn't read.
+def written() -> set[str]:
+    """The scratch paths that are in use."""
+    return set(_written)
 
-    For a pipeline whose stages are written out one after the other; shuffle files go with the garbage.
-    """
-    files = [_plain(f) for f in df.inputFiles()]
-    for path in list(_written):
+
+def drop_paths(spark: SparkSession, paths: set[str], unless: DataFrame) -> None:
+    """Delete scratch paths but those that a DataFrame reads, and let go of shuffle files that nothing needs."""
+    files = [_plain(f) for f in unless.inputFiles()]
+    for path in [p for p in _written if p in paths]:
         if not any(f.startswith(_plain(path)) for f in files):
             _delete(spark, path)
             _written.remove(path)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.components import components
-from tallyfold.llm.session import bounded_batches, materialise
+from tallyfold.llm.session import bounded_batches, materialise, small
 from tallyfold.llm.text import word_blocks
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
@@ -95,3 +95,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(ids, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) without the rows that near_duplicates() puts behind another one.
+
+    Of each group the row with the least doc_id stays, once if it is repeated; of a group with no id, one
+    row for each text. doc_id is taken to tell rows apart: rows of one id are decided upon together.
+    """
+    groups = materialise(near_duplicates(docs), "components")
+    behind = groups.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_tf_id")).distinct()
+    often = groups.groupBy(F.col("doc_id").alias("_tf_id")).count().where("count > 1").select("_tf_id")
+    behind, often = (small(materialise(t, "ids")) for t in (behind, often))
+    same = F.col("doc_id").eqNullSafe(F.col("_tf_id"))
+    rest = docs.join(behind, same, "left_anti")
+    once = rest.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.join(often, same, "left_anti").unionByName(once)
