@@ -9,6 +9,7 @@ import sys
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -58,7 +59,7 @@ class Shell:
                 return self.engine.execute(statement).message
             outcome, timing = self.engine.timed(statement, self.warm_ups, self.runs)
             return f"{outcome.message}\n{timing}"
-        except (TallyfoldError, PySparkException) as error:
+        except (TallyfoldError, PySparkException, Py4JError) as error:
             return f"error: {error}"
 
     def complete(self, text: str, state: int) -> str | None:

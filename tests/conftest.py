@@ -1,0 +1,63 @@
+import os
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+
+SF = Path("/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+        .config("spark.sql.warehouse.dir", f"file://{tmp_path_factory.mktemp('warehouse')}")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("OFF")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    if not SF.is_dir():
+        pytest.skip("the driver's tables aren't here")
+    return str(SF)
+
+
+@pytest.fixture(scope="session")
+def shop(tmp_path_factory):
+    """A small hand-made database with nulls, ties, quotes, a date before 1970 and long text."""
+    folder = tmp_path_factory.mktemp("shop")
+    (folder / "Employee.csv").write_text(
+        '"Employee_id (N) (P)","Name (T)","Salary (N)","JoinedDate (D)"\n'
+        '1,"Ada, ""Countess""",100,"1965-12-10 00:00:00"\n'
+        '2,"Bob",200,"2001-01-01 08:00:00"\n'
+        '3,"Cyd",300,"2011-05-05 12:30:00"\n'
+        '4,"Dee",,"2020-02-29 23:59:59"\n'
+    )
+    (folder / "Product.csv").write_text(
+        "Product_id (N) (P),ProductName (T),Price (N)\n10,Pen,1.5\n20,Ink,4\n30,Desk,250.25\n40,,-3\n"
+    )
+    (folder / "Orders.csv").write_text(
+        "Order_id (N) (P),CustomerName (T),Employee_id (N),Product_id (N),TotalAmount (N),OrderDate (D)\n"
+        "1,Xi,1,10,15,2021-01-01 00:00:00\n"
+        "2,Yo,2,20,40,2021-02-01 00:00:00\n"
+        "3,Xi,2,30,500.5,2021-03-01 00:00:00\n"
+        "4,Zed,3,30,,2021-03-01 00:00:00\n"
+        f"5,{'L' * 300},3,40,-6,1969-07-20 20:17:40\n"
+        "6,Yo,,10,30,\n"
+    )
+    return str(folder)

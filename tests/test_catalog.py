@@ -1,0 +1,103 @@
+import pytest
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
+from tallyfold import Engine
+from tallyfold.errors import CatalogError, HeaderError
+from tallyfold.sources.catalog import Table, foreign_keys
+from tallyfold.sources.header import parse_header
+
+
+def table(name, header):
+    return Table(name, "", tuple(parse_header(header)))
+
+
+def keys(*tables):
+    return foreign_keys({t.name: t for t in tables})
+
+
+def test_foreign_keys():
+    city = table("city", "id (N) (P),name (T)")
+    trip = table("trip", "day (D) (P),nr (N) (P),city_id (N)")
+    stop = table("stop", "trip_day (D),trip_nr (N),City_ID (N)")
+    half = table("half", "trip_day (D)")
+    bare = table("bare", "x (N)")
+    found = keys(city, trip, stop, half, bare)
+    assert found["trip"] == {"city": ("city_id",)}
+    assert found["stop"] == {"city": ("City_ID",), "trip": ("trip_day", "trip_nr")}
+    assert found["half"] == found["bare"] == found["city"] == {}
+
+
+def test_no_table_refers_to_itself_and_cycles_end():
+    a = table("a", "id (N) (P),a_id (N),b_id (N)")
+    b = table("b", "id (N) (P),a_id (N)")
+    assert keys(a, b) == {"a": {"b": ("b_id",)}, "b": {"a": ("a_id",)}}
+
+
+def test_types_nulls_and_quotes(spark, shop):
+    rows = Engine(spark, shop).sql("SELECT * FROM Employee ORDER BY Employee_id").collect()
+    assert rows[0]["Name"] == 'Ada, "Countess"' and rows[0]["JoinedDate"].year == 1965 and rows[3]["Salary"] is None
+    types = dict(Engine(spark, shop).table("product").dtypes)
+    assert types == {"Product_id": "int", "ProductName": "string", "Price": "double"}
+    empty = Engine(spark, shop).sql("SELECT COUNT(*) AS n FROM Product WHERE ProductName IS NULL").first()
+    assert empty["n"] == 1
+
+
+def test_the_sample_keys_give_no_foreign_keys(spark, shop):
+    rows = {r["column_name"]: r for r in Engine(spark, shop).describe("ORDERS").collect()}
+    assert rows["Order_id"]["key"] and all(r["refers_to"] is None for r in rows.values())
+
+
+def test_a_value_of_another_type_is_an_error(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a (N)\n1\nx\n")
+    with pytest.raises((PySparkException, Py4JError)):
+        Engine(spark, str(tmp_path)).sql("SELECT a FROM t").collect()
+
+
+def test_folders_are_read_anew(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a (N)\n1\n")
+    engine = Engine(spark, str(tmp_path))
+    assert engine.sql("SELECT * FROM t").columns == ["a"]
+    (tmp_path / "t.csv").write_text("b (T),c (N)\nx,2.5\n")
+    (tmp_path / "u.csv").write_text("d (N)\n")
+    assert engine.sql("SELECT * FROM t").columns == ["b", "c"]
+    assert engine.sql("SELECT * FROM u").count() == 0
+    (tmp_path / "u.csv").unlink()
+    with pytest.raises(PySparkException):
+        engine.sql("SELECT * FROM u")
+
+
+def test_missing_folders_and_headers(spark, tmp_path):
+    engine = Engine(spark)
+    with pytest.raises(CatalogError):
+        engine.sql("SELECT 1")
+    with pytest.raises(CatalogError):
+        engine.use(str(tmp_path / "none"))
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(CatalogError):
+        engine.use(str(tmp_path / "file"))
+    (tmp_path / "t.csv").write_text("")
+    with pytest.raises(HeaderError):
+        engine.use(str(tmp_path))
+
+
+def test_parquet_tables_and_other_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "p.parquet"))
+    (tmp_path / "notes.txt").write_text("x")
+    engine = Engine(spark, str(tmp_path))
+    assert engine.sql("SELECT COUNT(*) AS n FROM p").first()["n"] == 3 and list(engine.catalog.tables) == ["p"]
+
+
+def test_engines_don_t_share_views(spark, shop, tmp_path):
+    (tmp_path / "t.csv").write_text("a (N)\n1\n")
+    one, other = Engine(spark, shop), Engine(spark, str(tmp_path))
+    with pytest.raises(PySparkException):
+        other.sql("SELECT * FROM Orders")
+    one.use(str(tmp_path))
+    with pytest.raises(PySparkException):
+        one.sql("SELECT * FROM Orders")
+
+
+def test_only_the_named_columns_are_read_and_filters_go_down(spark, shop):
+    plan = Engine(spark, shop).explain("SELECT Name FROM Employee WHERE Salary > 100")
+    assert "ReadSchema: struct<Name:string,Salary:int>" in plan and "GreaterThan(Salary,100)" in plan
