@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import ann, bpe, exact_topk, langid, mixing, passages, quality, sharding, simhash, warc
+from tallyfold.llm import ann, bpe, exact_topk, langid, mixing, oracles, passages, quality, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,4 +69,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against plain versions."""
+    return {
+        "op2_exact_topk": oracles.exact_top_k(10, 100),
+        "op5_mixing": oracles.mixture(0.995),
+        "op7_warc": oracles.captures(),
+        "op10_sharding": oracles.shards(),
+    }
