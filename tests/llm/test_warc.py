@@ -1,0 +1,103 @@
+import base64
+import hashlib
+import random
+
+import pytest
+
+from tallyfold.llm import warc
+from tests.llm.conftest import with_clashes
+
+
+def page_rows(spark, *pages):
+    return spark.createDataFrame(list(pages), "page_id long, url string, html string")
+
+
+def plain(pages, least=0):
+    latest = {}
+    for p in pages:
+        data = (p["html"] or "").encode()
+        if len(data) >= least and p["page_id"] is not None:
+            latest[data] = max(latest.get(data, p["page_id"]), p["page_id"])
+    out = []
+    for p in pages:
+        data = (p["html"] or "").encode()
+        first = latest.get(data) if len(data) >= least else None
+        again = first is not None and first != p["page_id"]
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        out.append((p["page_id"], len(data), digest, "revisit" if again else "response", first if again else None))
+    return sorted(out, key=repr)
+
+
+def found(df, least=0):
+    return sorted((tuple(r)[:5] for r in warc.captures(df, least).collect()), key=repr)
+
+
+def test_pages_of_the_table(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert found(df) == plain(df.collect())
+
+
+@pytest.fixture(scope="module")
+def odd_pages(spark):
+    return page_rows(
+        spark, (1, "http://a.example/x", "same"), (2, "http://a.example/x", "same"), (3, None, None), (4, "", ""),
+        (5, "no url\r\nX-Page-Id: 9", "é🙂\r\n\r\nWARC/1.0\r\n\r\n"), (None, "http://b.example", "same"), (None, None, "lone"),
+        (7, "https://www.B.example:8080/p/Q?x=1#y", "\r\n\r\n"), (7, "https://www.B.example:8080/p/Q?x=1#y", "\r\n\r\n"),
+        (8, "http://[bad", "w" * 300_000), (9, "http://a.example/x", "\r\n"),
+    )
+
+
+def test_odd_pages(odd_pages):
+    assert found(odd_pages) == plain(odd_pages.collect())
+    assert found(with_clashes(odd_pages, "key", "bytes", "latest", "digest")) == plain(odd_pages.collect())
+    assert found(odd_pages, 3) == plain(odd_pages.collect(), 3)
+    assert warc.captures(odd_pages.where("false")).collect() == []
+
+
+def test_archives_are_warc_files(spark, odd_pages, tmp_path):
+    import gzip
+
+    path = tmp_path / "archives"
+    warc.write_archives(odd_pages, path.as_uri())
+    seen = []
+    for file in path.glob("*.gz"):
+        data = gzip.decompress(file.read_bytes())
+        for headers, payload, offset, length in warc.parse(data):
+            assert data[offset : offset + 8] == b"WARC/1.0" and data[offset + length - 4 : offset + length] == b"\r\n\r\n"
+            assert headers["warc-record-id"].startswith("<urn:uuid:") and headers["content-type"].startswith("application/http")
+            seen.append((headers["warc-type"], headers.get("warc-target-uri"), payload))
+    assert len(seen) == 11 and ("response", "no url%0D%0AX-Page-Id: 9", "é🙂\r\n\r\nWARC/1.0\r\n\r\n".encode()) in seen
+    assert all(payload == b"" for kind, _, payload in seen if kind == "revisit")
+
+
+def test_a_broken_archive_is_an_error():
+    with pytest.raises(ValueError, match="doesn't end"):
+        list(warc.parse(b"WARC/1.0\r\nContent-Length: 2\r\n\r\nabXX\r\n"))
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.parse(b"HTTP/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"))
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
+def test_loser_tree(k):
+    rnd = random.Random(k)
+    runs = []
+    for run in range(k):
+        own = [
+            {"run": str(run), "url_key": rnd.choice("abc"), "captured_at": str(rnd.randint(1, 3)), "page_id": rnd.choice([None, 1, 2]), "offset": i}
+            for i in range(rnd.randint(0, 9))
+        ]
+        runs.append(sorted(own, key=warc.capture_order))
+    merged = list(warc.LoserTree(runs))
+    assert merged == sorted((r for run in runs for r in run), key=warc.capture_order)
+
+
+def test_captures_are_in_global_order(spark, sf_dir, monkeypatch):
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    df = df.union(df.withColumn("page_id", df["page_id"] + 1000)).repartition(6)
+    order = [(r["url_key"], r["captured_at"], r["page_id"]) for r in warc.captures(df).collect()]
+    assert order == sorted(order) and len(order) == df.count()
+
+
+def test_url_keys():
+    assert warc.url_key("HTTP://www.Example.com:80/A/b?q=1#f") == "com,example:80)/a/b?q=1"
+    assert warc.url_key("http://x.y") == "y,x)/" and warc.url_key(None) == "" and warc.url_key("plain") == "plain"
