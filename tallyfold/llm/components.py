@@ -32,22 +32,24 @@ def _settled(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, about: int | None = None, rounds: int = 100) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
     Nodes are longs. Self-links and repeated links do no harm; nodes that have only self-links aren't
-    returned. Every round is written to the shared folder, so its lineage is one round long, and work and
-    shuffle are in proportion to the links. Raises if rounds don't suffice (they grow with the logarithm).
+    returned. about: about how many links there are, where that is known. Every round is written to the shared
+    folder, so its lineage is one round long, and work and shuffle are in proportion to the links. Raises if
+    rounds don't suffice (they grow with the logarithm).
     """
     tidy = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    now, mark = materialise(_settled(tidy), "links"), None
+    now, mark = materialise(_settled(tidy), "links", about), None
+    size = now.count()
     for _ in range(rounds):
-        nearer = materialise(_settled(_small_star(_settled(_large_star(now)))), "links")
+        nearer = materialise(_settled(_small_star(_settled(_large_star(now)))), "links", size)
         drop(now)
         now = nearer
         seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first()
         if seen == mark:
             roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
             return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
-        mark = seen
+        mark, size = seen, max(size, seen[0])
     raise RuntimeError(f"components didn't settle in {rounds} rounds")

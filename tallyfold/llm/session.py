@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
+
+Batches = Iterator[pa.RecordBatch]
 
 #: Used only where the session names no checkpoint folder, as in local tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 #: Python stages get batches of at most so many rows and bytes, whatever the length of a text.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 #: Rows of a few numbers up to which small() broadcasts a table: some MB.
 BROADCAST_ROWS = 400_000
 
+#: Short rows in one partition of a table whose size is known beforehand.
+FILE_ROWS = 50_000
+
 _written: list[str] = []
 
 
@@ -43,10 +50,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many short rows, in no more partitions than they need."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    rows: about how many short rows df has, where that is known; they are then written in no more files than
+    they need.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if rows is not None:
+        df = few(df, rows)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -109,6 +127,24 @@ def widened(df: DataFrame, **types: str) -> StructType:
     return found
 
 
+def map_arrow(df: DataFrame, run: Callable[[Batches], Batches], schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any names; run gives its columns in the schema's order."""
+    names = df.columns
+    places = StructType([StructField(f"_{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def placed(batches: Batches) -> Batches:
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, places.names)
+
+    found = df.toDF(*[f"_{i}" for i in range(len(names))]).mapInArrow(placed, places)
+    return found.toDF(*schema.names)
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """df's column names as select() reads them, whatever characters they have."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns]
+
+
 def id_crc32(column: str = "doc_id"):
     """crc32 of an integer id written as text, the rule by which rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

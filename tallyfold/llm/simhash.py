@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.components import components
-from tallyfold.llm.session import bounded_batches, materialise, small
+from tallyfold.llm.session import bounded_batches, few, materialise, small
 from tallyfold.llm.text import word_blocks
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
@@ -55,15 +55,15 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        columns = [batch.column("doc_id"), batch.column("tid"), pa.array(found.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, tid (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _fingerprints, "doc_id long, fp long"
-    )
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"))
+    return narrow.mapInArrow(_fingerprints, "doc_id long, tid long, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -75,39 +75,47 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.where(near).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text).
-
-    component_id is the smallest doc_id that links of fingerprints reach. Null and empty texts have
-    fingerprint zero and are linked like any other. Repeated rows are returned each; a null doc_id takes
-    its group's component_id (null if the whole group has none). Extra columns are ignored.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, tid, fp and component_id of every row of docs (doc_id, text)."""
     prints = materialise(fingerprints(docs), "fingerprints")
+    size = prints.count()
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(groups.select("fp")))
+    found = components(links(groups.select("fp")), size)
     nodes = materialise(
         groups.join(found.withColumnRenamed("node", "fp"), "fp", "left")
         .select("fp", "first", F.coalesce("component", "fp").alias("component")),
         "groups",
+        size,
     )
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = nodes.join(least, "component").select("fp", "component_id")
-    return prints.join(ids, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return few(prints.join(ids, "fp", "left"), size)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text).
+
+    component_id is the smallest doc_id that links of fingerprints reach. Null and empty texts have
+    fingerprint zero and are linked like any other. Repeated rows are returned each; a null doc_id takes
+    its group's component_id (null if the whole group has none). Extra columns are ignored.
+    """
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return grouped(docs).select("doc_id", shown, "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without the rows that near_duplicates() puts behind another one.
 
     Of each group the row with the least doc_id stays, once if it is repeated; of a group with no id, one
-    row for each text. doc_id is taken to tell rows apart: rows of one id are decided upon together.
+    row for each text. Rows are told apart by doc_id and a hash of the text.
     """
-    groups = materialise(near_duplicates(docs), "components")
-    behind = groups.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_tf_id")).distinct()
-    often = groups.groupBy(F.col("doc_id").alias("_tf_id")).count().where("count > 1").select("_tf_id")
-    behind, often = (small(materialise(t, "ids")) for t in (behind, often))
-    same = F.col("doc_id").eqNullSafe(F.col("_tf_id"))
+    groups = materialise(grouped(docs).select("doc_id", "tid", "component_id"), "components")
+    size = groups.count()
+    keys = (F.col("doc_id").alias("_tf_id"), F.col("tid").alias("_tf_tid"))
+    behind = groups.where("not doc_id <=> component_id").select(*keys).distinct()
+    often = groups.groupBy(*keys).count().where("count > 1").select("_tf_id", "_tf_tid")
+    behind, often = (small(materialise(t, "ids", size)) for t in (behind, often))
+    same = F.col("doc_id").eqNullSafe(F.col("_tf_id")) & (F.xxhash64("text") == F.col("_tf_tid"))
     rest = docs.join(behind, same, "left_anti")
     once = rest.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return rest.join(often, same, "left_anti").unionByName(once)
