@@ -21,13 +21,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.session import bounded_batches, widened
+from tallyfold.llm.session import bounded_batches, map_arrow, widened
 
 #: The published pattern by which this family of tokenizers cuts a text into words; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words and their encodings that a worker keeps at most before it starts anew; it changes no result.
-KEPT_WORDS = 400_000
+#: Words with their encodings, and judged pairs of tokens, that a worker keeps at most before it starts
+#: anew; they change no result.
+KEPT_WORDS, KEPT_PAIRS = 200_000, 300_000
+
+#: Characters of text whose words are held at a time.
+BLOCK = 1 << 20
+
+_BORDER = regex.compile(r"(?<=\S) ")
 
 
 def byte_letters() -> dict[str, int]:
@@ -114,15 +120,13 @@ class Tokenizer:
                         apart = True
                         break
                     until, a = a, self.parts[a][1]
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > KEPT_PAIRS:
             self.apart.clear()
         self.apart[key] = apart
         return apart
 
     def _learn(self, words: Iterable[str]) -> None:
         """Encode distinct words by going through their trie depth first."""
-        if len(self.cache) > KEPT_WORDS:
-            self.cache.clear()
         rank, endings, stays_apart = self.rank, self.endings, self.stays_apart
         path = b""
         last: list[int] = []  # the last token of each prefix of path, by length - 1
@@ -148,23 +152,59 @@ class Tokenizer:
             self.cache[word] = b"".join(reversed(found))
 
     def _pieces(self, text: str) -> Iterator[str | int]:
-        """Stretches of ordinary text, and ids of added tokens between them."""
-        for piece in self.cut.split(text) if self.cut else [text]:
-            if piece:
-                yield self.special[piece] if piece in self.special else piece
+        """Stretches of ordinary text of about BLOCK characters, and ids of added tokens between them.
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each whole text as little-endian unsigned 32-bit integers; a null text has none."""
-        cut = [[p if isinstance(p, int) else self.words.findall(p) for p in self._pieces(t or "")] for t in texts]
-        new = {w for pieces in cut for p in pieces if not isinstance(p, int) for w in p}
+        A stretch ends only where a space follows something else: no word of the pattern goes across that.
+        """
+        for piece in self.cut.split(text) if self.cut else [text]:
+            if piece in self.special:
+                yield self.special[piece]
+                continue
+            at = 0
+            while len(piece) - at > BLOCK:
+                end = _BORDER.search(piece, at + BLOCK)
+                if end is None:
+                    break
+                yield piece[at : end.start()]
+                at = end.start()
+            if at < len(piece):
+                yield piece[at:]
+
+    def _encode_pieces(self, pieces: list[str | int]) -> list[bytes]:
+        cut = [p if isinstance(p, int) else self.words.findall(p) for p in pieces]
+        new = {w for p in cut if not isinstance(p, int) for w in p}
         if len(self.cache) > KEPT_WORDS:
             self.cache.clear()
         self._learn(new.difference(self.cache))
         get = self.cache.__getitem__
-        return [
-            b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in pieces)
-            for pieces in cut
-        ]
+        return [p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in cut]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each whole text as little-endian unsigned 32-bit integers; a null text has none.
+
+        Words of about BLOCK characters of text at a time are in the trie, so memory is bounded.
+        """
+        found: list[list[bytes]] = [[] for _ in texts]
+        owners: list[int] = []
+        pieces: list[str | int] = []
+        held = 0
+
+        def flush() -> None:
+            for owner, ids in zip(owners, self._encode_pieces(pieces), strict=True):
+                found[owner].append(ids)
+            owners.clear()
+            pieces.clear()
+
+        for i, text in enumerate(texts):
+            for piece in self._pieces(text or ""):
+                owners.append(i)
+                pieces.append(piece)
+                held += 1 if isinstance(piece, int) else len(piece)
+                if held >= BLOCK:
+                    flush()
+                    held = 0
+        flush()
+        return [b"".join(x) for x in found]
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; added tokens are spelt out, and bytes that aren't UTF-8 are replaced."""
@@ -193,7 +233,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> D
             ids = pa.array(bpe.encode_batch(batch.column(text).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, to])
 
-    return kept.mapInArrow(run, widened(kept, **{to: "binary"}))
+    return map_arrow(kept, run, widened(kept, **{to: "binary"}))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -207,7 +247,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
             texts = pa.array([bpe.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, to])
 
-    return kept.mapInArrow(run, widened(kept, **{to: "string"}))
+    return map_arrow(kept, run, widened(kept, **{to: "string"}))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

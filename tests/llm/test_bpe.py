@@ -58,6 +58,15 @@ def test_a_full_cache_changes_nothing(both, monkeypatch):
     assert [own.encode_batch([t])[0] for t in texts] == first
 
 
+def test_long_texts_are_cut_where_no_word_goes_across(both, monkeypatch):
+    own, library = both
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab 1.'s\n  \t<|endoftext|>") for _ in range(400)) for _ in range(60)] + ["x" * 300, " " * 300, "a<|endoftext|> b" * 20]
+    monkeypatch.setattr(bpe, "BLOCK", 11)
+    for text, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_digests(spark, sf_dir, both):
     own, library = both
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
