@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.session import bounded_batches, id_crc32, widened
+from tallyfold.llm.session import bounded_batches, id_crc32, map_arrow, widened
 
 #: Of each language, at most so many texts are learnt from, and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 96, 4096
@@ -128,15 +128,19 @@ def _classifier(dictionaries: tuple[tuple[str, bytes], ...]) -> Classifier:
     return Classifier(dict(dictionaries))
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """docs with lang_pred, score, margin and rejected, from the column text alone.
+def identify(
+    docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = MARGIN, prefix: str = ""
+) -> DataFrame:
+    """docs with lang_pred, score, margin and rejected, from the column text alone; prefix is put before the names.
 
     lang_pred is ``und`` and the row rejected if the text is null or has no letter; otherwise it is the
     language of the smallest total, and rejected tells whether its margin is below the one given. Input
-    columns of these four names are replaced; all others stay.
+    columns of the four names are replaced; all others stay.
     """
     bounded_batches(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score", "margin", "rejected")
+    kinds = {"lang_pred": "string", "score": "double", "margin": "double", "rejected": "boolean"}
+    kinds = {prefix + name: kind for name, kind in kinds.items()}
+    kept = docs.drop(*kinds)
     sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +153,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                 pa.array([x[2] for x in found], pa.float64()),
                 pa.array([x[0] == UNDETERMINED or x[2] < margin for x in found], pa.bool_()),
             ]
-            names = [*batch.schema.names, "lang_pred", "score", "margin", "rejected"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *kinds])
 
-    schema = widened(kept, lang_pred="string", score="double", margin="double", rejected="boolean")
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, widened(kept, **kinds))
 
 
 def languages(docs: DataFrame) -> DataFrame:

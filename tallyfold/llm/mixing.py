@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.session import materialise
+from tallyfold.llm.session import materialise, quoted
 from tallyfold.llm.sharding import PRIME
 
 #: Blocks of one source.
@@ -106,9 +106,8 @@ def weigh(sources: DataFrame, target: Target, budget: int | None = None) -> Data
     tokens have weight and budget 0.
     """
     total = Window.partitionBy()
-    shared = materialise(
-        sources.withColumn("share", F.col("tokens") / F.greatest(F.sum("tokens").over(total), F.lit(1))), "sources"
-    )
+    everything = F.greatest(F.sum("tokens").over(total), F.lit(1))
+    shared = materialise(sources.withColumn("share", F.col("tokens") / everything), "sources")
     exponent = bisect_exponent(shared, target)
     power = F.when(F.col("tokens") > 0, F.exp(F.log("share") * F.lit(exponent))).otherwise(F.lit(0.0))
     found = shared.withColumn("_power", power)
@@ -146,7 +145,9 @@ def _plan(blocks: DataFrame, weighed: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def mix(rows: DataFrame, target: Target, budget: int | None = None, seed: int = 1) -> DataFrame:
+def mix(
+    rows: DataFrame, target: Target, budget: int | None = None, seed: int = 1, counted: bool = False, prefix: str = ""
+) -> DataFrame:
     """rows (doc_id, text, source, ...) with copies, how often each is drawn, and its source's weight.
 
     A source is drawn budget div tokens times as a whole; the rest is the start of one more epoch: blocks in
@@ -154,11 +155,13 @@ def mix(rows: DataFrame, target: Target, budget: int | None = None, seed: int =
     reaches it. Rows of no tokens are drawn with every whole epoch, sources of no tokens once. A null source
     is a source of its own; null and empty texts have no tokens; a null doc_id is dealt as 0. Sums are made
     per source and block before they are put together, and only the blocks where budgets end are shuffled
-    row by row. Rows may bring n_tokens instead of text. Columns named copies or weight are replaced.
+    row by row.
+    counted: rows have n_tokens, which is taken instead of text. prefix is put before the two names; columns
+    that are named so are replaced.
     """
-    counted = "n_tokens" in rows.columns
+    copies, weight = f"{prefix}copies", f"{prefix}weight"
     of = F.col("n_tokens") if counted else n_tokens(F.col("text"))
-    kept = rows.drop("copies", "weight").withColumns(
+    kept = rows.drop(copies, weight).withColumns(
         {
             "_tf_s": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
             "_tf_b": F.expr(f"{mixed_sql('coalesce(doc_id, 0)', str(seed))} % {BLOCKS}").cast("int"),
@@ -166,17 +169,19 @@ def mix(rows: DataFrame, target: Target, budget: int | None = None, seed: int =
     )
     sums = kept.groupBy("_tf_s", "_tf_b").agg(F.sum(of).alias("_tf_tokens"))
     blocks = materialise(sums, "blocks")
+    size = blocks.count()
     totals = blocks.groupBy(F.col("_tf_s").alias("source")).agg(F.sum("_tf_tokens").alias("tokens"))
-    plan = materialise(_plan(blocks, weigh(totals, target, budget), seed), "plan")
-    if plan.count() <= BROADCAST_BLOCKS:
+    plan = materialise(_plan(blocks, weigh(totals, target, budget), seed), "plan", size)
+    plan = plan.withColumnRenamed("weight", weight)
+    if size <= BROADCAST_BLOCKS:
         plan = F.broadcast(plan)
     keys, ends = ["_tf_s", "_tf_b"], (F.col("_tf_left") > 0) & ~F.col("_tf_whole")
-    plain = kept.join(plan.where(~ends), keys).withColumn("copies", F.col("_tf_epochs") + F.col("_tf_whole").cast("long"))
+    plain = kept.join(plan.where(~ends), keys).withColumn(copies, F.col("_tf_epochs") + F.col("_tf_whole").cast("long"))
     order = F.expr(mixed_sql("coalesce(doc_id, 0)", f"({seed} + _tf_epochs)"))
     within = Window.partitionBy(*keys).orderBy(order, "doc_id", "_tf_n").rowsBetween(Window.unboundedPreceding, -1)
     last = kept.withColumn("_tf_n", of).join(plan.where(ends), keys)
     before = F.coalesce(F.sum("_tf_n").over(within), F.lit(0))
-    last = last.withColumn("copies", F.col("_tf_epochs") + (before < F.col("_tf_left")).cast("long")).drop("_tf_n")
+    last = last.withColumn(copies, F.col("_tf_epochs") + (before < F.col("_tf_left")).cast("long")).drop("_tf_n")
     return plain.unionByName(last).drop("_tf_s", "_tf_b", "_tf_epochs", "_tf_left", "_tf_whole")
 
 
@@ -187,12 +192,12 @@ def mix_documents(docs: DataFrame, target: Target, budget: int | None = None, se
     An empty table gives an empty result; extra columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_tokens(F.col("text")).alias("n_tokens"))
-    found = mix(materialise(narrow, "tokens"), target, budget, seed)
+    found = mix(materialise(narrow, "tokens"), target, budget, seed, counted=True)
     return found.select("doc_id", "source", "n_tokens", "copies", F.round("weight", 9).alias("weight"))
 
 
 def draw(docs: DataFrame, target: Target, budget: int | None = None, seed: int = 1) -> DataFrame:
     """Rows of docs (doc_id, text, source, ...), each as often as it is drawn, with docs' own columns."""
-    mixed = mix(docs, target, budget, seed)
-    again = F.expr("explode(if(copies > 0, sequence(1L, copies), array()))")
-    return mixed.withColumn("_tf_copy", again).select(*docs.columns)
+    mixed = mix(docs, target, budget, seed, prefix="_tf_")
+    again = F.expr("explode(if(_tf_copies > 0, sequence(1L, _tf_copies), array()))")
+    return mixed.withColumn("_tf_copy", again).select(*quoted(docs))

@@ -93,3 +93,15 @@ def test_odd_documents(spark, odd_docs, no_docs, tmp_path):
         found = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert {r["doc_id"] for r in found} <= {None, 4, 6, 8, 9, 10}
         assert (not found) == (name == "none")
+
+
+def test_further_columns_stay(spark, odd_docs, sf_dir):
+    from tests.llm.conftest import with_clashes
+
+    names = ("score", "margin", "rejected", "copies", "weight", "n_tokens", "tid", "fp", "key", "a.b", "shard")
+    docs = with_clashes(odd_docs, *names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        assert found.columns == docs.columns, name
+        kept = found.collect()
+        assert kept and all(tuple(r)[5:] == ("clash",) * len(names) for r in kept)
