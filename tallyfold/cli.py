@@ -63,11 +63,11 @@ class Shell:
             return f"error: {error}"
 
     def complete(self, text: str, state: int) -> str | None:
-        """Keywords and names of tables and columns that begin with text."""
+        """Keywords, and names of tables and of columns of opened tables, that begin with text."""
         names = list(KEYWORDS)
         if self.engine.catalog:
-            for name, table in self.engine.catalog.tables.items():
-                names += [name, *(c.name for c in table.columns)]
+            names += self.engine.catalog.found
+            names += [c.name for table in self.engine.catalog.tables.values() for c in table.columns]
         found = sorted({n for n in names if n.lower().startswith(text.lower())})
         return found[state] if state < len(found) else None
 

@@ -61,24 +61,23 @@ class Engine:
     def use(self, folder: str) -> None:
         """Make folder the current one. A folder that isn't there is an error, and the one before stays."""
         catalog = Catalog(self.spark, folder)
-        catalog.refresh()
-        for name in (self.catalog.tables.keys() - catalog.tables.keys()) if self.catalog else ():
-            self.spark.catalog.dropTempView(name)
+        for name in list(self.catalog.tables) if self.catalog else ():
+            self.catalog.drop(name)
         self.catalog = catalog
 
-    def _refreshed(self) -> Catalog:
+    def _refreshed(self, statement: str | None = None) -> Catalog:
         if self.catalog is None:
             raise CatalogError("no folder is in use")
-        self.catalog.refresh()
+        self.catalog.refresh(statement)
         return self.catalog
 
     def sql(self, query: str) -> DataFrame:
         """The result of a query, not yet computed."""
-        self._refreshed()
+        self._refreshed(query)
         return self.spark.sql(_statement(query))
 
     def table(self, name: str) -> DataFrame:
-        return self._refreshed().table(name)
+        return self._refreshed(name).table(name)
 
     def describe(self, table: str) -> DataFrame:
         """Columns, types, keys and references of a table."""

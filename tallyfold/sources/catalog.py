@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -86,26 +87,48 @@ def list_tables(spark: SparkSession, folder: str) -> list[tuple[str, str, bool]]
     return sorted(found)
 
 
+def _named(name: str, statement: str) -> bool:
+    """Whether a name occurs in a statement; one of other than word characters wherever it stands."""
+    return name in (re.findall(r"\w+", statement) if re.fullmatch(r"\w+", name) else statement)
+
+
 class Catalog:
-    """The tables of one folder, as temporary views of a session."""
+    """The tables of one folder, as temporary views of a session.
+
+    Files are listed at each refresh, but only the tables that are asked for are opened.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.found = {name: (path, is_csv) for name, path, is_csv in list_tables(spark, folder)}
         self.tables: dict[str, Table] = {}
 
-    def refresh(self) -> None:
-        """Read the folder anew: views of tables that are gone go, and changed headers hold from now on."""
-        before, self.tables = self.tables, {}
-        for name, path, is_csv in list_tables(self.spark, self.folder):
-            if is_csv:
-                table = Table(name, path, tuple(read_columns(self.spark, path)))
-                frame = read_csv(self.spark, path, table.columns)
-            else:
-                table, frame = Table(name, path), self.spark.read.parquet(path)
-            frame.createOrReplaceTempView(f"`{name}`")
-            self.tables[name] = table
-        for name in before.keys() - self.tables.keys():
-            self.spark.catalog.dropTempView(name)
+    def refresh(self, statement: str | None = None) -> None:
+        """Read the folder anew: views of tables that are gone go, and changed headers hold from now on.
+
+        Of the tables, those are opened whose names occur in a statement; without one, all.
+        """
+        self.found = {name: (path, is_csv) for name, path, is_csv in list_tables(self.spark, self.folder)}
+        for name in self.tables.keys() - self.found.keys():
+            self.drop(name)
+        for name, (path, is_csv) in self.found.items():
+            if statement is None or _named(name.lower(), statement.lower()):
+                self._open(name, path, is_csv)
+            elif name in self.tables:
+                self.drop(name)
+
+    def _open(self, name: str, path: str, is_csv: bool) -> None:
+        if is_csv:
+            table = Table(name, path, tuple(read_columns(self.spark, path)))
+            frame = read_csv(self.spark, path, table.columns)
+        else:
+            table, frame = Table(name, path), self.spark.read.parquet(path)
+        frame.createOrReplaceTempView(f"`{name}`")
+        self.tables[name] = table
+
+    def drop(self, name: str) -> None:
+        self.spark.catalog.dropTempView(name)
+        self.tables.pop(name, None)
 
     def table(self, name: str) -> DataFrame:
         found = {n.lower(): n for n in self.tables}.get(name.lower())
@@ -114,7 +137,7 @@ class Catalog:
         return self.spark.table(f"`{found}`")
 
     def describe(self, name: str) -> DataFrame:
-        """column_name, column_type, key and refers_to of a table's columns."""
+        """column_name, column_type, key and refers_to of a table's columns; all tables must be open."""
         frame = self.table(name)
         table = next(t for n, t in self.tables.items() if n.lower() == name.lower())
         refers = {c: other for other, columns in foreign_keys(self.tables)[table.name].items() for c in columns}

@@ -77,15 +77,18 @@ def test_missing_folders_and_headers(spark, tmp_path):
     with pytest.raises(CatalogError):
         engine.use(str(tmp_path / "file"))
     (tmp_path / "t.csv").write_text("")
+    (tmp_path / "good.csv").write_text("a (N)\n1\n")
+    engine.use(str(tmp_path))
     with pytest.raises(HeaderError):
-        engine.use(str(tmp_path))
+        engine.sql("SELECT * FROM t")
+    assert engine.sql("SELECT a FROM Good").count() == 1
 
 
 def test_parquet_tables_and_other_files(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "p.parquet"))
     (tmp_path / "notes.txt").write_text("x")
     engine = Engine(spark, str(tmp_path))
-    assert engine.sql("SELECT COUNT(*) AS n FROM p").first()["n"] == 3 and list(engine.catalog.tables) == ["p"]
+    assert engine.sql("SELECT COUNT(*) AS n FROM p").first()["n"] == 3 and list(engine.catalog.found) == ["p"]
 
 
 def test_engines_don_t_share_views(spark, shop, tmp_path):
