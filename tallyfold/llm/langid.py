@@ -112,7 +112,8 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """
     rows = docs.where("lang is not null and text is not null").where(~held_out())
     piece = F.substring("text", 1, SAMPLE_CHARS)
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), piece.alias("piece"), F.xxhash64("doc_id").alias("h"))
+    lang = F.col("lang").cast("string").alias("lang")
+    rows = rows.select(lang, piece.alias("piece"), F.xxhash64("doc_id").alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
     picked = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS)
     samples: dict[str, list[str]] = {}

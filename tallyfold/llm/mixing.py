@@ -9,6 +9,7 @@ the last epoch stops at the document that reaches the budget. Everything is Data
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,22 +52,21 @@ def n_tokens(text: Column) -> Column:
 
 
 def _met(sources: DataFrame, target: Target, exponents: list[float]) -> list[bool]:
-    """For each exponent whether its weights are flat enough, or for repeats steep enough; one pass."""
-    columns = []
+    """For each exponent whether its weights are flat enough for the target; one pass over the sources."""
+    sums = [F.count("*").alias("n")]
     log_share = F.log("share")
-    for e in exponents:
+    for i, e in enumerate(exponents):
         power = F.exp(log_share * F.lit(e))
-        columns += [F.sum(power), F.sum(power * log_share * F.lit(e)), F.max(power / F.col("share")), F.min(power / F.col("share"))]
-    row = sources.where("tokens > 0").agg(F.count("*").alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(columns)])
-    head = row.select("n", *[
-        (F.log(f"c{4 * i}") - F.col(f"c{4 * i + 1}") / F.col(f"c{4 * i}")).alias(f"h{i}") for i in range(len(exponents))
-    ], *[(F.col(f"c{4 * i + 2}") / F.col(f"c{4 * i + 3}")).alias(f"r{i}") for i in range(len(exponents))],
-        F.log(F.greatest("n", F.lit(1)).cast("double")).alias("most")).first()
-    if not head["n"]:
+        often = power / F.col("share")
+        sums += [F.sum(power).alias(f"power{i}"), F.sum(power * log_share * F.lit(e)).alias(f"logs{i}")]
+        sums += [F.max(often).alias(f"most{i}"), F.min(often).alias(f"least{i}")]
+    row = sources.where("tokens > 0").agg(*sums).first()
+    if not row["n"]:
         return [True] * len(exponents)
-    if target.entropy is not None:
-        return [head[f"h{i}"] >= target.entropy * head["most"] for i in range(len(exponents))]
-    return [head[f"r{i}"] <= target.repeats for i in range(len(exponents))]
+    if target.repeats is not None:
+        return [row[f"most{i}"] / row[f"least{i}"] <= target.repeats for i in range(len(exponents))]
+    found = [math.log(row[f"power{i}"]) - row[f"logs{i}"] / row[f"power{i}"] for i in range(len(exponents))]
+    return [h >= target.entropy * math.log(row["n"]) for h in found]
 
 
 def bisect_exponent(sources: DataFrame, target: Target) -> float:
@@ -105,21 +105,19 @@ def weigh(sources: DataFrame, target: Target, budget: int | None = None) -> Data
     Without a total budget it is the least one that goes through every source once at least. Sources of no
     tokens have weight and budget 0.
     """
-    total = Window.partitionBy()
-    everything = F.greatest(F.sum("tokens").over(total), F.lit(1))
-    shared = materialise(sources.withColumn("share", F.col("tokens") / everything), "sources")
+    total = sources.agg(F.sum("tokens")).first()[0] or 1
+    shared = materialise(sources.withColumn("share", F.col("tokens") / F.lit(total)), "sources")
     exponent = bisect_exponent(shared, target)
     power = F.when(F.col("tokens") > 0, F.exp(F.log("share") * F.lit(exponent))).otherwise(F.lit(0.0))
-    found = shared.withColumn("_power", power)
-    found = found.withColumn("weight", F.coalesce(F.try_divide("_power", F.sum("_power").over(total)), F.lit(0.0)))
-    if budget is None:
-        once = F.when(F.col("tokens") > 0, F.col("tokens") / F.col("weight"))
-        found = found.withColumn("_all", F.max(once).over(total))
-    else:
-        found = found.withColumn("_all", F.lit(float(budget)))
-    # Rounded in the last places, so that a source that is to be gone through once is.
-    amount = F.coalesce(F.floor(F.col("weight") * F.col("_all") * (1 + 1e-12) + 1e-6), F.lit(0)).cast("long")
-    return found.withColumn("budget", amount).withColumn("exponent", F.lit(exponent)).drop("_power", "_all")
+    once = F.when(F.col("tokens") > 0, F.col("tokens") / power)
+    sums = shared.agg(F.sum(power).alias("power"), F.max(once).alias("once")).first()
+    whole = sums["power"] or 1.0
+    least = (sums["once"] or 0.0) * whole
+    everything = float(budget) if budget is not None else least
+    weight = power / F.lit(whole)
+    # Raised in the last places, so that a source that is to be gone through once is.
+    amount = F.floor(weight * F.lit(everything) * F.lit(1 + 1e-12) + F.lit(1e-6)).cast("long")
+    return shared.withColumns({"weight": weight, "budget": amount, "exponent": F.lit(exponent)})
 
 
 def mixed_sql(key: str, salt: str) -> str:
@@ -191,7 +189,8 @@ def mix_documents(docs: DataFrame, target: Target, budget: int | None = None, se
     As mix(); repeated rows are drawn alike, or one after the other within the block where a budget ends.
     An empty table gives an empty result; extra columns are ignored.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_tokens(F.col("text")).alias("n_tokens"))
+    of = n_tokens(F.col("text")).alias("n_tokens")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", of)
     found = mix(materialise(narrow, "tokens"), target, budget, seed, counted=True)
     return found.select("doc_id", "source", "n_tokens", "copies", F.round("weight", 9).alias("weight"))
 

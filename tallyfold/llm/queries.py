@@ -64,7 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op1_langid, op2_exact_topk, op3_quality, op4_ann, op5_mixing, op6_passages, op7_warc, op8_bpe, op9_simhash, op10_sharding)
+    named = (
+        op1_langid, op2_exact_topk, op3_quality, op4_ann, op5_mixing, op6_passages, op7_warc, op8_bpe, op9_simhash,
+        op10_sharding,
+    )
     return {f.__name__: f for f in named}
 
 

@@ -107,6 +107,13 @@ def drop_paths(spark: SparkSession, paths: set[str], unless: DataFrame) -> None:
     release_shuffles(spark)
 
 
+def delete_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this process; results that still read one must have been written."""
+    for path in list(_written):
+        _delete(spark, path)
+        _written.remove(path)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner remove shuffle files of plans that are no longer referenced."""
     gc.collect()

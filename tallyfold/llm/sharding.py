@@ -96,7 +96,8 @@ def permute(df: DataFrame, number: str, rows: str, seed: int, name: str) -> Data
         linear, square = round_sql(by, i, seed)
         df = df.withColumn("_tf_t", F.expr(linear)).withColumn(to, F.expr(f"({to} + {square}) % {modulus}"))
     df = df.withColumn("_tf_image", F.expr("_tf_left * _tf_b + _tf_right"))
-    walk = f"aggregate(sequence(1, {LONGEST_WALK}), _tf_image, (at, _tf_step) -> if(at < {rows}, at, {_pass_sql('at', seed)}))"
+    step = f"(at, _tf_step) -> if(at < {rows}, at, {_pass_sql('at', seed)})"
+    walk = f"aggregate(sequence(1, {LONGEST_WALK}), _tf_image, {step})"
     df = df.withColumn(name, F.expr(f"if(_tf_image < {rows}, _tf_image, {walk})"))
     return df.drop("_tf_a", "_tf_b", "_tf_left", "_tf_right", "_tf_t", "_tf_image")
 
