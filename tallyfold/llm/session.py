@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that long texts don't fill a Python worker."""
+    """Get a session ready for Python stages: workers find this package, and Arrow batches are bounded.
+
+    Batches are bounded in rows and bytes, so that long texts don't fill a worker. Workers are told where the
+    driver has the package; on a cluster it is there too, or comes with the job (--py-files).
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
