@@ -25,7 +25,7 @@ BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 BROADCAST_ROWS = 400_000
 
 #: Short rows in one partition of a table whose size is known beforehand.
-FILE_ROWS = 50_000
+FILE_ROWS = 250_000
 
 _written: list[str] = []
 
