@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyfold.errors import CatalogError, StatementError
 from tallyfold.sources.catalog import Catalog
-from tallyfold.sources.writer import write_result
+from tallyfold.sources.writer import target, write_parts, write_result
 
 _FIRST_WORD = re.compile(r"[A-Za-z]+")
 
@@ -47,20 +47,21 @@ class Engine:
     """SELECT over the tables of a folder.
 
     The engine has a session of its own, with its own views and UTC, beside the one it is given; it keeps no
-    state outside itself. Statements see the folder as it is when they start.
+    state outside itself. Statements see the folder as it is when they start. multi_line: cells of CSV tables may
+    have line ends, as text in results has; each file is then read by one task.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, results: str = "results"):
+    def __init__(self, spark: SparkSession, folder: str | None = None, results: str = "results", multi_line: bool = False):
         self.spark = spark.newSession()
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.results = results
+        self.results, self.multi_line = results, multi_line
         self.catalog: Catalog | None = None
         if folder is not None:
             self.use(folder)
 
     def use(self, folder: str) -> None:
         """Make folder the current one. A folder that isn't there is an error, and the one before stays."""
-        catalog = Catalog(self.spark, folder)
+        catalog = Catalog(self.spark, folder, self.multi_line)
         for name in list(self.catalog.tables) if self.catalog else ():
             self.catalog.drop(name)
         self.catalog = catalog
@@ -87,11 +88,12 @@ class Engine:
         """The plans of a query, from parsed to physical; nothing is run."""
         return self.sql(query)._jdf.queryExecution().toString()
 
-    def execute(self, statement: str, out: str | None = None) -> Outcome:
+    def execute(self, statement: str, out: str | None = None, parts: bool = False) -> Outcome:
         """Run a statement of any kind: USE, EXPLAIN, DESCRIBE, DUCKDB, or else a query.
 
-        Results go to out, or to a file of the results folder named after the time. Keywords are read
-        without case. Errors are raised.
+        Results go to out, or to a file of the results folder named after the time, on the default file system or
+        that of out. With parts a query's result is a folder of files with headers, which its tasks write; else
+        the driver puts them together. Keywords are read without case. Errors are raised.
         """
         text = _statement(statement)
         word = _FIRST_WORD.match(text)
@@ -110,13 +112,17 @@ class Engine:
             found = self.describe(rest.strip("`\""))
             return Outcome("\n".join(" ".join(str(v) for v in row) for row in found.collect()))
         path = out or self._result_path("duck_output" if kind == "duckdb" else "our_output", "csv")
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
         if kind == "duckdb":
+            Path(path).parent.mkdir(parents=True, exist_ok=True)
             from tallyfold.plans.oracle import copy_result
 
             copy_result(self._refreshed(), rest, path)
         else:
-            write_result(self.sql(text), Path(path).absolute().as_uri())
+            place = target(self.spark, path)
+            if parts:
+                write_parts(self.sql(text), place, header=True)
+            else:
+                write_result(self.sql(text), place)
         return Outcome(f"result written to {path}", path)
 
     def timed(self, statement: str, warm_ups: int = 2, runs: int = 5, out: str | None = None) -> tuple[Outcome, Timing]:

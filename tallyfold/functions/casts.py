@@ -33,3 +33,13 @@ def to_epoch_sql(x: str) -> str:
 
 def from_epoch_sql(x: str) -> str:
     return f"timestampadd(SECOND, CAST({x} AS BIGINT), {_EPOCH})"
+
+
+def plus_seconds(x: Column, seconds: Column) -> Column:
+    """A datetime and a whole number of seconds, which may be negative."""
+    return F.timestamp_add("SECOND", seconds.cast("bigint"), x)
+
+
+def seconds_between(x: Column, y: Column) -> Column:
+    """Whole seconds from datetime x to datetime y."""
+    return F.timestamp_diff("SECOND", x, y)

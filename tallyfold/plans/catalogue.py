@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.engine import Engine
-from tallyfold.functions import from_epoch, safe_div, safe_mod, to_epoch, truncated
+from tallyfold.functions import from_epoch, plus_seconds, safe_div, safe_mod, seconds_between, to_epoch, truncated
 from tallyfold.operators import (
     beside,
     compared_with,
@@ -25,6 +25,7 @@ from tallyfold.operators import (
     summary,
     theta,
 )
+from tallyfold.sources.writer import shared_folder, write_result
 
 
 class Tables:
@@ -365,6 +366,97 @@ _sql(
     "FROM customer ORDER BY spent DESC NULLS LAST, c_custkey",
 )
 
+# Groups, sets and limits
+
+_sql("group_having", "SELECT c_mktsegment, COUNT(*) AS n, round(AVG(c_acctbal), 4) AS mean FROM customer GROUP BY c_mktsegment HAVING COUNT(*) > 10")
+_sql(
+    "group_two_keys",
+    "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(DISTINCT l_suppkey) AS suppliers, MAX(l_shipdate) AS latest, "
+    "CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem GROUP BY l_returnflag, l_linestatus",
+)
+_sql("group_nulls", "SELECT nullif(o_custkey % 5, 0) AS k, COUNT(*) AS n FROM orders GROUP BY nullif(o_custkey % 5, 0)")
+_sql("group_rollup", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+_sql("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+_sql("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+_sql("limit_offset", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10 OFFSET 5")
+_sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier")
+_sql("union_distinct", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey AS k FROM supplier")
+_sql("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000")
+_sql("set_intersect", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey AS k FROM supplier")
+
+# Joins that keep or test rows
+
+for _name, _join in {"left": "LEFT", "right": "RIGHT", "full": "FULL"}.items():
+    _sql(
+        f"join_{_name}",
+        f"SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_acctbal > 8000) AS c {_join} JOIN "
+        "(SELECT * FROM supplier WHERE s_acctbal > 2000) AS s ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal",
+    )
+_sql("join_semi", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000")
+_sql("join_anti", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+_sql(
+    "exists_row",
+    "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)",
+)
+_sql("not_exists_row", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount = 0)")
+_sql("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+_sql("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+
+# Further predicates, conditions and casts
+
+_sql("pred_like", "SELECT p_partkey FROM part WHERE p_name LIKE '%1%' AND p_name NOT LIKE '%11' AND p_brand LIKE 'B%'")
+_sql("pred_is_null", "SELECT o_orderkey, nullif(o_custkey, 5) IS NOT NULL AS keyed FROM orders WHERE nullif(o_custkey, 5) IS NULL OR o_custkey < 9")
+_sql("pred_distinct_from", "SELECT o_orderkey FROM orders WHERE nullif(o_custkey, 5) IS DISTINCT FROM nullif(o_custkey, 7)")
+_sql(
+    "case_when",
+    "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'owes' WHEN c_acctbal < 5000 THEN 'some' ELSE 'much' END AS band, "
+    "coalesce(nullif(c_nationkey, 3), -1) AS nation FROM customer",
+)
+_sql(
+    "cast_text",
+    "SELECT p_partkey, CAST(p_size AS STRING) AS size, CAST(CAST(p_partkey AS STRING) AS BIGINT) + 1 AS next, "
+    "CAST('12.5' AS DOUBLE) AS half, upper(p_brand) AS brand, length(p_name) AS n FROM part",
+)
+_frame(
+    "datetime_plus_seconds",
+    "SELECT o_orderkey, o_orderdate + to_seconds(o_custkey) AS later, o_orderdate - to_seconds(o_custkey) AS earlier FROM orders",
+    lambda t: projection(
+        t.orders, o_orderkey="o_orderkey", later=plus_seconds(F.col("o_orderdate"), F.col("o_custkey")),
+        earlier=plus_seconds(F.col("o_orderdate"), -F.col("o_custkey")),
+    ),
+)
+_frame(
+    "datetime_minus_datetime",
+    "SELECT l_orderkey, l_linenumber, datediff('second', o_orderdate, l_shipdate) AS waited FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    lambda t: projection(
+        inner(t.lineitem, t.orders, "l_orderkey = o_orderkey"), l_orderkey="l_orderkey", l_linenumber="l_linenumber",
+        waited=seconds_between(F.col("o_orderdate"), F.col("l_shipdate")),
+    ),
+)
+
+# Named subqueries and windows
+
+_sql(
+    "cte_twice",
+    "WITH spent AS (SELECT o_custkey AS k, COUNT(*) AS n, MAX(o_totalprice) AS top FROM orders GROUP BY o_custkey) "
+    "SELECT c_name, n, top FROM spent JOIN customer ON c_custkey = k WHERE n > (SELECT AVG(n) FROM spent)",
+)
+_sql(
+    "window_rank",
+    "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS BIGINT) AS place, "
+    "CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS nr FROM customer",
+)
+_sql(
+    "window_running",
+    "SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS so_far FROM orders",
+)
+_sql(
+    "window_lag",
+    "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, "
+    "COUNT(*) OVER (PARTITION BY o_custkey) AS of_customer FROM orders",
+)
+
 # Star-schema shapes
 
 _sql(
@@ -401,19 +493,13 @@ _sql("long_string", "SELECT doc_id, text FROM documents WHERE text > 'M'")
 
 
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """supplier, written as a tagged CSV file to the session's shared folder and read through a catalogue."""
+    """supplier, written by the result writer under a tagged header to the session's shared folder and read as a table."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    place = f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     supplier = spark.read.parquet(f"{folder}/supplier.parquet")
     tagged = supplier.toDF("s_suppkey (N) (P)", "s_name (T)", "s_nationkey (N)", "s_acctbal (N)")
-    tagged.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{place}/parts")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    parts = jvm.org.apache.hadoop.fs.Path(f"{place}/parts")
-    system = parts.getFileSystem(conf)
-    part = next(s.getPath() for s in system.listStatus(parts) if s.getPath().getName().endswith(".csv"))
-    system.rename(part, jvm.org.apache.hadoop.fs.Path(f"{place}/supplier.csv"))
+    write_result(tagged, f"{place}/supplier.csv")
     return Engine(spark, place).sql("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 
 

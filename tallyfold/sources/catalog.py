@@ -16,7 +16,7 @@ from tallyfold.types import DATETIME_FORMAT
 #: Rows from which a CSV table's numeric columns are told apart.
 SNIFF_ROWS = 1000
 
-_DIALECT = {"quote": '"', "escape": '"', "multiLine": "false"}
+_DIALECT = {"quote": '"', "escape": '"'}
 
 
 @dataclass(frozen=True)
@@ -50,20 +50,20 @@ def foreign_keys(tables: Mapping[str, Table]) -> dict[str, dict[str, tuple[str,
     return found
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[Column]) -> DataFrame:
-    """A CSV table with a known header. Empty cells are null; a value that isn't of its type is an error."""
+def read_csv(spark: SparkSession, path: str, columns: Sequence[Column], multi_line: bool = False) -> DataFrame:
+    """A CSV table with a known header, whose cells have line ends only with multi_line. Empty cells are null; a value that isn't of its type is an error."""
     reader = spark.read.schema(schema_of(columns)).option("header", True).option("enforceSchema", True)
-    return reader.options(**_DIALECT, mode="FAILFAST", timestampNTZFormat=DATETIME_FORMAT).csv(path)
+    return reader.options(**_DIALECT, multiLine=multi_line, mode="FAILFAST", timestampNTZFormat=DATETIME_FORMAT).csv(path)
 
 
-def read_columns(spark: SparkSession, path: str, sniff_rows: int = SNIFF_ROWS) -> list[Column]:
+def read_columns(spark: SparkSession, path: str, sniff_rows: int = SNIFF_ROWS, multi_line: bool = False) -> list[Column]:
     """The columns of a CSV table, from its header line and first rows; only these are read."""
     first = spark.read.text(path).head(1)
     columns = parse_header(first[0][0] if first else "")
     plain = StructType()
     for i in range(len(columns)):
         plain = plain.add(f"_{i}", "string")
-    rows = spark.read.schema(plain).options(**_DIALECT, header=True, enforceSchema=True).csv(path)
+    rows = spark.read.schema(plain).options(**_DIALECT, multiLine=multi_line, header=True, enforceSchema=True).csv(path)
     return sniff(columns, rows.head(sniff_rows))
 
 
@@ -98,8 +98,8 @@ class Catalog:
     Files are listed at each refresh, but only the tables that are asked for are opened.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, multi_line: bool = False):
+        self.spark, self.folder, self.multi_line = spark, folder, multi_line
         self.found = {name: (path, is_csv) for name, path, is_csv in list_tables(spark, folder)}
         self.tables: dict[str, Table] = {}
 
@@ -119,8 +119,8 @@ class Catalog:
 
     def _open(self, name: str, path: str, is_csv: bool) -> None:
         if is_csv:
-            table = Table(name, path, tuple(read_columns(self.spark, path)))
-            frame = read_csv(self.spark, path, table.columns)
+            table = Table(name, path, tuple(read_columns(self.spark, path, multi_line=self.multi_line)))
+            frame = read_csv(self.spark, path, table.columns, self.multi_line)
         else:
             table, frame = Table(name, path), self.spark.read.parquet(path)
         frame.createOrReplaceTempView(f"`{name}`")

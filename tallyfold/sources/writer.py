@@ -8,11 +8,14 @@ results too.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.errors import StatementError
 from tallyfold.types import DATETIME_FORMAT, Kind, kind_of
 
 
@@ -46,9 +49,56 @@ def format_rows(df: DataFrame) -> DataFrame:
     return plain.select(F.concat_ws(",", *cells).alias("value") if cells else F.lit("").alias("value"))
 
 
-def write_parts(df: DataFrame, folder: str) -> None:
-    """Lines of df under folder, one file for each partition, in the order of their names; no header."""
-    format_rows(df).write.text(folder)
+def target(spark: SparkSession, path: str) -> str:
+    """Where a result of this path goes: what has a scheme stays, else it is a path of the default file system.
+
+    On a cluster a path of the machine itself is an error: each executor would write to its own disk, and the
+    driver would put together what it alone has.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(conf)
+    if system.getUri().getScheme() == "file" and not spark.sparkContext.master.startswith("local"):
+        raise StatementError(f"{path} is on one machine; a cluster needs a path that all of it shares")
+    return system.makeQualified(found).toString()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate files that spark.checkpoint.dir names; a local session may go without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise StatementError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
+
+
+def write_parts(df: DataFrame, folder: str, header: bool = False) -> None:
+    """Lines of df under folder, one file for each partition, in the order of their names.
+
+    With header each file that has lines begins with it; a result of no lines is one file of the header. Nothing
+    goes through the driver.
+    """
+    if not header:
+        format_rows(df).write.text(folder)
+        return
+    line = header_line(df)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started = False
+        for batch in batches:
+            if batch.num_rows and not started:
+                started = True
+                yield pa.RecordBatch.from_arrays([pa.array([line])], ["value"])
+            yield batch
+
+    rows = format_rows(df).mapInArrow(headed, "value string")
+    rows.write.text(folder)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(conf)
+    if not any(s.getLen() for s in system.listStatus(where)):
+        out = system.create(jvm.org.apache.hadoop.fs.Path(where, "part-header.txt"), True)
+        out.write(bytearray((line + "\n").encode()))
+        out.close()
 
 
 def write_result(df: DataFrame, path: str) -> str:

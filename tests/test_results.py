@@ -92,3 +92,27 @@ def test_shell(spark, shop, tmp_path):
     assert all(map(shell.feed, ["_help", f"use {shop};", "SELECT Name", "FROM Employee", ";", "SELECT * FROM nowhere;"]))
     assert "EXPLAIN" in said[0] and "using" in said[1] and "result written" in said[2] and said[3].startswith("error")
     assert shell.complete("Emp", 0) == "Employee" and not shell.feed("_exit")
+
+
+def test_parts_with_headers(spark, shop, tmp_path):
+    engine = Engine(spark, shop, str(tmp_path))
+    for where, least in (("Salary > 0", 1), ("Salary < 0", 0)):
+        folder = tmp_path / f"parts{least}"
+        engine.execute(f"SELECT Name FROM Employee WHERE {where}", str(folder), parts=True)
+        files = [p.read_text().splitlines() for p in folder.iterdir() if p.name.startswith("part-") and p.stat().st_size]
+        assert files and all(lines[0] == "Name" for lines in files) and sum(map(len, files)) - len(files) == 3 * least
+
+
+def test_line_ends_in_cells(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'two\nlines, "quoted"'), (2, "one")], "`k (N) (P)` int, `t (T)` string")
+    write_result(df, (tmp_path / "note.csv").as_uri())
+    found = Engine(spark, str(tmp_path), multi_line=True).sql("SELECT k, t FROM note ORDER BY k").collect()
+    assert [tuple(r) for r in found] == [(1, 'two\nlines, "quoted"'), (2, "one")]
+
+
+def test_results_of_a_cluster_need_a_shared_path(spark, tmp_path, monkeypatch):
+    from tallyfold.sources import writer
+
+    monkeypatch.setattr(spark.sparkContext, "master", "yarn")
+    with pytest.raises(StatementError):
+        writer.target(spark, str(tmp_path / "r.csv"))
