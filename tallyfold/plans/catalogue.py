@@ -444,17 +444,18 @@ _sql(
 _sql(
     "window_rank",
     "SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS BIGINT) AS place, "
-    "CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS nr FROM customer",
+    "CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS BIGINT) AS nr FROM customer "
+    "ORDER BY c_custkey",
 )
 _sql(
     "window_running",
     "SELECT o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey "
-    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS so_far FROM orders",
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS so_far FROM orders ORDER BY o_orderkey",
 )
 _sql(
     "window_lag",
     "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, "
-    "COUNT(*) OVER (PARTITION BY o_custkey) AS of_customer FROM orders",
+    "COUNT(*) OVER (PARTITION BY o_custkey) AS of_customer FROM orders ORDER BY o_orderkey",
 )
 
 # Star-schema shapes

@@ -87,7 +87,7 @@ def write_parts(df: DataFrame, folder: str, header: bool = False) -> None:
         for batch in batches:
             if batch.num_rows and not started:
                 started = True
-                yield pa.RecordBatch.from_arrays([pa.array([line])], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([line])], schema=batch.schema)
             yield batch
 
     rows = format_rows(df).mapInArrow(headed, "value string")
