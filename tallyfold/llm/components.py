@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.session import drop, materialise
+from tallyfold.llm.session import dealt_join, drop, materialise
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """Pairs (node, other) with the least neighbour of node; a hub's pairs are summed up map-side first."""
+    """Pairs (node, other) with the least neighbour of node; a hub's pairs are summed up map-side first and may be split."""
     least = pairs.groupBy("node").agg(F.min("other").alias("least"))
-    return pairs.join(least, "node")
+    return dealt_join(pairs, least, "node")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,7 +16,7 @@ from pyspark.sql.types import StructField, StructType
 
 Batches = Iterator[pa.RecordBatch]
 
-#: Used only where the session names no checkpoint folder, as in local tests.
+#: Used only where a local session names no checkpoint folder, as in tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 #: Python stages get batches of at most so many rows and bytes, whatever the length of a text.
@@ -27,13 +28,27 @@ BROADCAST_ROWS = 400_000
 #: Short rows in one partition of a table whose size is known beforehand.
 FILE_ROWS = 250_000
 
-_written: list[str] = []
+
+
+class _Register(threading.local):
+    """The scratch paths in use, of each thread its own: pipelines side by side don't delete each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_register = _Register()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a local master may go without: on a cluster a folder of the driver's machine isn't that of the executors.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_SCRATCH)
         found = LOCAL_SCRATCH
     return found.rstrip("/")
@@ -56,7 +71,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _register.paths.append(path)
     return path
 
 
@@ -87,6 +102,18 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def dealt_join(rows: DataFrame, led: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """The join of rows with led (one row for each key, a whole number or text) on something made of the key.
+
+    led comes out of its aggregation dealt by the key. Joined on it, it wouldn't be dealt again, and Spark splits
+    a key with very many rows only where both sides of the join are dealt for it.
+    """
+    text = dict(rows.dtypes)[key] == "string"
+    made = F.concat(F.lit("."), F.col(key)) if text else F.col(key).bitwiseXOR(F.lit(0x5DEECE66D))
+    made = made.alias("_made")
+    return rows.select("*", made).join(led.select("*", made).drop(key), "_made", how).drop("_made")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -97,31 +124,31 @@ def drop(*frames: DataFrame) -> None:
     """Delete what materialise() wrote for these frames; the caller knows that nothing reads them any more."""
     for df in frames:
         files = [_plain(f) for f in df.inputFiles()]
-        for path in [p for p in _written if any(f.startswith(_plain(p)) for f in files)]:
+        for path in [p for p in _register.paths if any(f.startswith(_plain(p)) for f in files)]:
             _delete(df.sparkSession, path)
-            _written.remove(path)
+            _register.paths.remove(path)
 
 
 def written() -> set[str]:
-    """The scratch paths that are in use."""
-    return set(_written)
+    """The scratch paths that this thread has in use."""
+    return set(_register.paths)
 
 
 def drop_paths(spark: SparkSession, paths: set[str], unless: DataFrame) -> None:
     """Delete scratch paths but those that a DataFrame reads, and let go of shuffle files that nothing needs."""
     files = [_plain(f) for f in unless.inputFiles()]
-    for path in [p for p in _written if p in paths]:
+    for path in [p for p in _register.paths if p in paths]:
         if not any(f.startswith(_plain(path)) for f in files):
             _delete(spark, path)
-            _written.remove(path)
+            _register.paths.remove(path)
     release_shuffles(spark)
 
 
 def delete_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this process; results that still read one must have been written."""
-    for path in list(_written):
+    """Delete every scratch table of this thread; results that still read one must have been written."""
+    for path in list(_register.paths):
         _delete(spark, path)
-        _written.remove(path)
+        _register.paths.remove(path)
 
 
 def release_shuffles(spark: SparkSession) -> None:
