@@ -1,30 +1,33 @@
 """SimHash near-duplicates: multi-index hashing over distinct fingerprints.
 
-A fingerprint has two segments of 32 bits. Two fingerprints at two differing bits or fewer have, in one
-segment, words that lie in each other's ball of radius 1 while the rest can be met within radius 1 too:
-so every fingerprint enters the table of each segment under all words of its ball of radius 1, beside the
-other segment as it is. Fingerprints that meet in a table differ in at most two bits, any two that differ
-in at most two bits meet, and no table entry has more than 65 fingerprints, whatever the groups of copies.
-Members of an entry are linked with its least member once their complete distance has been verified.
+A fingerprint is cut into segments, and each segment has a table of all fingerprints by their word there. Two
+fingerprints at a few differing bits agree in one segment or differ there in very few bits; so every fingerprint
+enumerates the small Hamming ball about its word in each segment, fetches what the tables have there, and verifies
+the complete distance. Copies are one fingerprint, and words that very many fingerprints have are searched further
+in the other segments, so work doesn't grow with the square of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.components import components
-from tallyfold.llm.session import bounded_batches, few, materialise, small
+from tallyfold.llm.session import bounded_batches, dealt_join, materialise, small
 from tallyfold.llm.text import word_blocks
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 
+#: Distinct fingerprints that have one word of a segment up to which each of them fetches all the others.
+HOT = 64
+
 
 def _votes(hashes: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit, from the least significant one."""
@@ -66,13 +69,94 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(_fingerprints, "doc_id long, tid long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that connect distinct fingerprints (fp) at most RADIUS bits apart, directly or in steps."""
-    flips = F.expr(f"transform(sequence(0, {BITS - 1}), i -> fp ^ shiftleft(1L, i))")
-    entries = distinct.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("code"))
-    met = entries.select("fp", F.min("fp").over(Window.partitionBy("code")).alias("least")).where("least <> fp")
-    near = F.bit_count(F.col("least").bitwiseXOR(F.col("fp"))) <= RADIUS
-    return met.where(near).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+def segments(radius: int) -> list[tuple[int, int, int]]:
+    """Start, width and ball radius of each segment of a fingerprint.
+
+    The radii of m segments add up to radius - m + 1. So of two fingerprints at most radius bits apart one segment
+    at least differs in no more bits than its own radius: else they were m bits more apart than that sum.
+    """
+    m = min(max(2, (radius + 2) // 2), radius + 1)
+    cuts = [BITS * i // m for i in range(m + 1)]
+    more = radius - m + 1
+    return [(cuts[i], cuts[i + 1] - cuts[i], more // m + (i < more % m)) for i in range(m)]
+
+
+def ball(bits: list[int], radius: int) -> list[int]:
+    """Masks, as signed longs, that flip at most radius of some bits (by their places)."""
+    masks = [sum(1 << b for b in flipped) for n in range(radius + 1) for flipped in combinations(bits, n)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
+def _mask(start: int, width: int) -> int:
+    """The bits of a segment, as a signed long."""
+    mask = (1 << width) - 1 << start
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _flipped(rows: DataFrame, column: str, masks: list[int], to: str) -> DataFrame:
+    """rows without column, once for each mask, with ``to``, the column flipped by it, and ``off``, how many bits that are."""
+    each = rows.select("*", F.explode(_longs(masks)).alias("_mask"))
+    flipped = F.col(column).bitwiseXOR(F.col("_mask"))
+    return each.select(*[c for c in rows.columns if c != column], flipped.alias(to), F.bit_count("_mask").alias("off"))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Links (a, b) that connect distinct fingerprints (fp) at most radius bits apart, directly or in steps.
+
+    Each segment has a table of words; every fingerprint looks up the small ball about its own word, and what it
+    fetches is held against its complete distance. A word that more than hot fingerprints have would be fetched
+    hot times over by each of them; there the search goes on in the rest of the fingerprint, and those that meet
+    are linked with the least of them, which is in reach of all: work grows with their number, not its square.
+    """
+    tables, probes = [], []
+    for i, (start, width, reach) in enumerate(segments(radius)):
+        own = F.col("fp").bitwiseAND(F.lit(_mask(start, width)))
+        tables.append(distinct.select(F.lit(i).alias("segment"), own.alias("word"), "fp"))
+        masks = ball(list(range(start, start + width)), reach)
+        probes.append(_flipped(distinct.select(F.lit(i).alias("segment"), "fp", own.alias("own")), "own", masks, "word"))
+    keys = ["segment", "word"]
+    table, probe = reduce(DataFrame.unionByName, tables), reduce(DataFrame.unionByName, probes)
+    often = materialise(table.groupBy(*keys).count().where(F.col("count") > hot).select(*keys), "words")
+    if often.isEmpty():
+        cold_table, cold_probe = table, probe
+    else:
+        many = small(often)
+        cold_table, cold_probe = (t.join(many, keys, "left_anti") for t in (table, probe))
+    fetched = cold_probe.join(cold_table.withColumnRenamed("fp", "other"), keys)
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
+    found = fetched.where(near & (F.col("fp") != F.col("other")))
+    found = found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    if not often.isEmpty():
+        found = found.unionByName(_hot_links(table.join(many, keys), probe.join(many, keys), radius))
+    return found.distinct()
+
+
+def _hot_links(table: DataFrame, probe: DataFrame, radius: int) -> DataFrame:
+    """Links of fingerprints under very common words, found in the rest of the fingerprint.
+
+    Members of a word are entered under all codes of a ball about their rest, a fingerprint that looks the word up
+    looks for a ball as wide as its distance from the word leaves, and both meet at a code.
+    """
+    wide, found = radius // 2, []
+    for i, (start, width, reach) in enumerate(segments(radius)):
+        rest = [b for b in range(BITS) if not start <= b < start + width]
+        own = F.col("fp").bitwiseAND(F.lit(~_mask(start, width)))
+        entered = table.where(F.col("segment") == i).select("word", "fp", own.alias("rest"))
+        entered = _flipped(entered, "rest", ball(rest, wide), "code")
+        least = entered.groupBy("word", "code").agg(F.min("fp").alias("other"))
+        for off in range(reach + 1):
+            left = radius - off - wide
+            if left < 0:
+                continue
+            asked = probe.where((F.col("segment") == i) & (F.col("off") == off)).select("word", "fp", own.alias("rest"))
+            asked = _flipped(asked, "rest", ball(rest, left), "code")
+            found.append(asked.join(least, ["word", "code"]).where("fp <> other").select("fp", "other"))
+    met = reduce(DataFrame.unionByName, found)
+    return met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -88,8 +172,8 @@ def grouped(docs: DataFrame) -> DataFrame:
         size,
     )
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = nodes.join(least, "component").select("fp", "component_id")
-    return few(prints.join(ids, "fp", "left"), size)
+    ids = dealt_join(nodes, least, "component").select("fp", "component_id")
+    return dealt_join(prints, ids, "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -104,12 +188,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) without the rows that near_duplicates() puts behind another one.
+    """docs (doc_id, text, ...) without the rows that near_duplicates() puts behind another one, as one_of_each()."""
+    return one_of_each(docs, grouped(docs))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one row of each group; groups has doc_id, tid and component_id (the group's least doc_id) of each row.
 
     Of each group the row with the least doc_id stays, once if it is repeated; of a group with no id, one
     row for each text. Rows are told apart by doc_id and a hash of the text.
     """
-    groups = materialise(grouped(docs).select("doc_id", "tid", "component_id"), "components")
+    groups = materialise(groups.select("doc_id", "tid", "component_id"), "components")
     size = groups.count()
     keys = (F.col("doc_id").alias("_tf_id"), F.col("tid").alias("_tf_tid"))
     behind = groups.where("not doc_id <=> component_id").select(*keys).distinct()

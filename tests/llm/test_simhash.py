@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pytest
 import xxhash
 
 from tallyfold.llm import simhash, text
@@ -97,3 +98,53 @@ def test_one_of_each_group_stays(make_docs, odd_docs):
     kept = [tuple(r)[:2] for r in simhash.keep_one(df).collect()]
     assert sorted(kept, key=repr) == sorted([(1, same), (2, prose(2, 100)), (None, prose(3, 50))], key=repr)
     assert simhash.keep_one(odd_docs).columns == odd_docs.columns
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
+@pytest.mark.parametrize("hot", [64, 1])
+def test_links_against_all_pairs(spark, radius, hot):
+    """Connected as over all pairs, with every link in reach; hot=1 searches all shared words in the rest."""
+    rnd, prints = random.Random(radius), set()
+    for _ in range(12):
+        base = rnd.getrandbits(64)
+        for _ in range(12):
+            prints.add(base)
+            for bit in rnd.sample(range(64), rnd.randint(1, 5)):
+                base ^= 1 << bit
+    prints |= {0, 1 << 63, (1 << 64) - 1, 0xFFFFFFFF, 0xFFFFFFFF << 32}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), radius, hot).collect()
+    assert all(r["a"] < r["b"] and ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= radius for r in found)
+    assert classes(signed, [(r["a"], r["b"]) for r in found]) == classes(
+        signed, [(a, b) for a, b in combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius]
+    )
+
+
+def classes(nodes, pairs):
+    of = {n: {n} for n in nodes}
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for n in of[b]:
+                of[n] = of[a]
+    return {frozenset(x) for x in of.values()}
+
+
+def test_what_the_tables_hold_is_verified(spark):
+    """Fingerprints that agree in half of their bits meet in a table and are told apart by the complete distance."""
+    prints = [0x11223344_00000000 + x for x in (0, 0xFF, 0xFFFF, 3)]
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 2).collect()
+    assert [(r["a"], r["b"]) for r in found] == [(prints[0], prints[3])]
+
+
+@pytest.mark.parametrize("radius", range(9))
+def test_segments_cover_every_distance(radius):
+    cut = simhash.segments(radius)
+    assert sum(w for _, w, _ in cut) == 64 and sum(r + 1 for *_, r in cut) == radius + 1
+
+
+def test_a_word_of_very_many_fingerprints_gives_as_many_links(spark):
+    prints = [0x11223344_00000000 + (i * 2654435761) % 2**32 for i in range(3000)]
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 2)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and found.count() < 3000
