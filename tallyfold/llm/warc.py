@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.session import bounded_batches, materialise, scratch
+from tallyfold.llm.session import BROADCAST_ROWS, bounded_batches, dealt_join, materialise, scratch
 
 #: The base32 alphabet of RFC 4648; a fixed value.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -27,8 +27,9 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
-#: Records in one archive file, which is parsed in one piece.
-FILE_RECORDS = 1000
+#: Records in one archive file by the largest payload they may have. A file is parsed in one piece, so it has about
+#: 64 MB at most, or else one record.
+FILE_RECORDS = {1 << 16: 1000, 1 << 22: 16, 1 << 62: 1}
 
 #: Captures that one merge task holds, about.
 MERGE_ROWS = 200_000
@@ -60,23 +61,51 @@ def _default_time(page_id: Column) -> Column:
     return F.timestamp_seconds(F.lit(1577836800) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(1_000_000_000)))
 
 
+def _payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, html (null: empty), its key and bytes."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
+    return base.withColumn("key", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
+
+
+def repeated_payloads(pages: DataFrame, least_bytes: int = 0) -> tuple[DataFrame, dict[int, int]]:
+    """key and latest (the largest page_id) of payloads that several rows have, and rows by the sizes of FILE_RECORDS.
+
+    Found without the payloads themselves, which are hashed where they are read.
+    """
+    rows, sizes = _payloads(pages), sorted(FILE_RECORDS)
+    seen = rows.agg(*[F.count_if(F.col("bytes") <= n).alias(f"n{n}") for n in sizes]).first()
+    groups = rows.where(F.col("bytes") >= least_bytes).groupBy("key")
+    groups = groups.agg(F.max("page_id").alias("latest"), F.count("*").alias("n"))
+    found = materialise(groups.where("n > 1").select("key", "latest"), "latest")
+    return found, {n: seen[i] - (seen[i - 1] if i else 0) for i, n in enumerate(sizes)}
+
+
 def records(pages: DataFrame, least_bytes: int = 0, captured_at: Column | None = None) -> DataFrame:
     """One column ``value``: a WARC record of every row of pages (page_id, url, html), without its end.
 
     The payload is the html in UTF-8 (null: empty). Of payloads that are equal and have at least
     least_bytes, the one with the largest page_id is a response and the others revisit it; all else are
     responses. Rows that repeat the largest page_id are responses too; if no page of a group has an id,
-    all are responses. A group is one row of the join whatever its size: the largest id is found by
-    partial aggregation.
+    all are responses.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
-    base = base.withColumn("key", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html").cast("long"))
-    same = base.where(F.col("bytes") >= least_bytes).groupBy("key")
-    latest = same.agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return _records(pages, repeated_payloads(pages, least_bytes)[0], captured_at).select("value")
+
+
+def _records(pages: DataFrame, latest: DataFrame, captured_at: Column | None) -> DataFrame:
+    """bytes and value of every row of pages.
+
+    The payloads stay where they are if those that are repeated are few (counted); else they are joined with them,
+    dealt so that Spark splits a payload of very many rows.
+    """
+    base = _payloads(pages)
     time = captured_at if captured_at is not None else _default_time(F.col("page_id"))
+    if latest.count() <= BROADCAST_ROWS:
+        joined = base.join(F.broadcast(latest), "key", "left")
+    else:
+        joined = dealt_join(base, latest, "key", "left")
     found = (
-        base.join(latest, "key", "left")
+        joined
         .withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")))
         .withColumn("again", F.col("refers_to").isNotNull())
         .withColumn("digest", F.expr(base32_sql("sha1(html)")))
@@ -103,14 +132,23 @@ def records(pages: DataFrame, least_bytes: int = 0, captured_at: Column | None =
         F.lit("\r\n"),
         block,
     )
-    return found.select(value.alias("value"))
+    return found.select("bytes", value.alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, captured_at: Column | None = None) -> None:
-    """Write records() of pages as gzipped WARC files under path, each file one gzip stream."""
-    found = records(pages, least_bytes, captured_at)
-    writer = found.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS)
-    writer.option("compression", "gzip").text(path)
+    """Write records() of pages as gzipped WARC files under path, each file one gzip stream.
+
+    Payloads of the sizes of FILE_RECORDS go into files of their own, so that a file is bounded in bytes.
+    """
+    latest, rows = repeated_payloads(pages, least_bytes)
+    found, least = _records(pages, latest, captured_at), -1
+    wanted = [n for n in rows if rows[n]] or [max(rows)]
+    for most in rows:
+        if most in wanted:
+            part = found.where((F.col("bytes") > least) & (F.col("bytes") <= most)) if len(wanted) > 1 else found
+            writer = part.select("value").write.mode("append").option("lineSep", END)
+            writer.option("maxRecordsPerFile", FILE_RECORDS[most]).option("compression", "gzip").text(path)
+        least = most
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
