@@ -21,6 +21,9 @@ from tallyfold.llm.sharding import PRIME
 #: Blocks of one source.
 BLOCKS = 256
 
+#: Slices by order of a block where a budget ends; rows are ordered in one of them only.
+SLICES = 4096
+
 #: The plan has one row for each source and block; one of at most so many is broadcast.
 BROADCAST_BLOCKS = 100_000
 
@@ -151,36 +154,80 @@ def mix(
     A source is drawn budget div tokens times as a whole; the rest is the start of one more epoch: blocks in
     a seeded order, and within the block where the rest ends, rows in such an order until the one that
     reaches it. Rows of no tokens are drawn with every whole epoch, sources of no tokens once. A null source
-    is a source of its own; null and empty texts have no tokens; a null doc_id is dealt as 0. Sums are made
-    per source and block before they are put together, and only the blocks where budgets end are shuffled
-    row by row.
-    counted: rows have n_tokens, which is taken instead of text. prefix is put before the two names; columns
+    is a source of its own; null and empty texts have no tokens; a row without an id is dealt by a hash of its text.
+    Sums are made per source and block before they are put together. Documents aren't shuffled (but for rows that
+    agree in id and tokens where a budget ends): of the blocks where budgets end, ids and tokens are, to find the
+    last row that is taken.
+    counted: rows have n_tokens and _tf_key (see _dealt_by()), which are taken instead of text. prefix is put before the two names; columns
     that are named so are replaced.
     """
     copies, weight = f"{prefix}copies", f"{prefix}weight"
     of = F.col("n_tokens") if counted else n_tokens(F.col("text"))
+    key = F.col("_tf_key") if counted else _dealt_by()
     kept = rows.drop(copies, weight).withColumns(
-        {
-            "_tf_s": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
-            "_tf_b": F.expr(f"{mixed_sql('coalesce(doc_id, 0)', str(seed))} % {BLOCKS}").cast("int"),
-        }
+        {"_tf_s": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "_tf_key": key}
     )
-    sums = kept.groupBy("_tf_s", "_tf_b").agg(F.sum(of).alias("_tf_tokens"))
+    kept = kept.withColumn("_tf_b", F.expr(f"{mixed_sql('_tf_key', str(seed))} % {BLOCKS}").cast("int"))
+    tokens = kept.select("_tf_s", "_tf_b", "_tf_key", "doc_id", of.alias("n_tokens"))
+    if not counted:  # words of texts are counted once
+        tokens = materialise(tokens, "tokens")
+    sums = tokens.groupBy("_tf_s", "_tf_b").agg(F.sum("n_tokens").alias("_tf_tokens"))
     blocks = materialise(sums, "blocks")
     size = blocks.count()
     totals = blocks.groupBy(F.col("_tf_s").alias("source")).agg(F.sum("_tf_tokens").alias("tokens"))
     plan = materialise(_plan(blocks, weigh(totals, target, budget), seed), "plan", size)
     plan = plan.withColumnRenamed("weight", weight)
-    if size <= BROADCAST_BLOCKS:
-        plan = F.broadcast(plan)
     keys, ends = ["_tf_s", "_tf_b"], (F.col("_tf_left") > 0) & ~F.col("_tf_whole")
-    plain = kept.join(plan.where(~ends), keys).withColumn(copies, F.col("_tf_epochs") + F.col("_tf_whole").cast("long"))
-    order = F.expr(mixed_sql("coalesce(doc_id, 0)", f"({seed} + _tf_epochs)"))
-    within = Window.partitionBy(*keys).orderBy(order, "doc_id", "_tf_n").rowsBetween(Window.unboundedPreceding, -1)
-    last = kept.withColumn("_tf_n", of).join(plan.where(ends), keys)
-    before = F.coalesce(F.sum("_tf_n").over(within), F.lit(0))
-    last = last.withColumn(copies, F.col("_tf_epochs") + (before < F.col("_tf_left")).cast("long")).drop("_tf_n")
-    return plain.unionByName(last).drop("_tf_s", "_tf_b", "_tf_epochs", "_tf_left", "_tf_whole")
+    order = F.expr(mixed_sql("_tf_key", f"({seed} + _tf_epochs)"))
+    first = (order.alias("order"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"))
+    place, counted_place = F.struct(*first, of.alias("n")), F.struct(*first, F.col("n_tokens").alias("n"))
+    ending = plan.where(ends).select(*keys, "_tf_epochs", "_tf_left")
+    narrow = tokens.join(_sent(ending, size), keys).select(*keys, counted_place.alias("at"), F.col("_tf_left").alias("left"))
+    borders = materialise(_borders(narrow, keys), "borders", size)
+    plan = plan.join(_sent(borders, size), keys, "left")
+    mixed = kept.join(_sent(plan, size), keys)
+    more = F.when(~ends, F.col("_tf_whole")).otherwise(place <= F.col("_tf_border"))
+    if borders.where("_tf_taken < _tf_tied").isEmpty():
+        found = mixed.withColumn(copies, F.col("_tf_epochs") + more.cast("long"))
+    else:  # rows that agree in all that orders them; so many of them are taken
+        odd = F.coalesce(ends & (place == F.col("_tf_border")) & (F.col("_tf_taken") < F.col("_tf_tied")), F.lit(False))
+        alike = Window.partitionBy(*keys).orderBy("_tf_key")
+        tied = mixed.where(odd).withColumn(copies, F.col("_tf_epochs") + (F.row_number().over(alike) <= F.col("_tf_taken")).cast("long"))
+        found = mixed.where(~odd).withColumn(copies, F.col("_tf_epochs") + more.cast("long")).unionByName(tied)
+    ours = ["_tf_s", "_tf_b", "_tf_key", "_tf_epochs", "_tf_left", "_tf_whole", "_tf_border", "_tf_taken", "_tf_tied"]
+    return found.drop(*ours)
+
+
+def _dealt_by() -> Column:
+    """The number by which a document is dealt: its id, or for a null one a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
+def _sent(table: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(table) if size <= BROADCAST_BLOCKS else table
+
+
+def _borders(narrow: DataFrame, keys: list[str]) -> DataFrame:
+    """For each block where a budget ends (rows keys, at, left) the last row that is taken (_tf_border).
+
+    _tf_tied rows agree with it, of which _tf_taken are taken. Tokens are summed by slices of the order first, and
+    rows are put in order only in the slice in which the budget ends: at most one of SLICES.
+    """
+    rows = narrow.withColumn("slice", F.expr(f"at.order * {SLICES} div {PRIME}"))
+    sums = rows.groupBy(*keys, "slice", "left").agg(F.sum("at.n").alias("tokens"))
+    so_far = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("upto", F.sum("tokens").over(so_far)).withColumn("before", F.col("upto") - F.col("tokens"))
+    last = sums.where((F.col("before") < F.col("left")) & (F.col("left") <= F.col("upto"))).select(*keys, "slice", "before")
+    inside = rows.join(last, [*keys, "slice"]).groupBy(*keys, "left", "before", "at").agg(F.count("*").alias("tied"))
+    alike = F.col("at.n") * F.col("tied")
+    upto = F.sum(alike).over(Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("from", F.col("before") + upto - alike).where(F.col("from") < F.col("left"))
+    inside = inside.groupBy(*keys).agg(F.max(F.struct("at", "tied", "from", "left")).alias("m"))
+    need = F.when(F.col("m.at.n") > 0, F.ceil((F.col("m.left") - F.col("m.from")) / F.col("m.at.n"))).otherwise(F.col("m.tied"))
+    return inside.select(
+        *keys, F.col("m.at").alias("_tf_border"), F.least(need, F.col("m.tied")).cast("long").alias("_tf_taken"),
+        F.col("m.tied").alias("_tf_tied"),
+    )
 
 
 def mix_documents(docs: DataFrame, target: Target, budget: int | None = None, seed: int = 1) -> DataFrame:
@@ -190,7 +237,7 @@ def mix_documents(docs: DataFrame, target: Target, budget: int | None = None, se
     An empty table gives an empty result; extra columns are ignored.
     """
     of = n_tokens(F.col("text")).alias("n_tokens")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", of)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", of, _dealt_by().alias("_tf_key"))
     found = mix(materialise(narrow, "tokens"), target, budget, seed, counted=True)
     return found.select("doc_id", "source", "n_tokens", "copies", F.round("weight", 9).alias("weight"))
 
