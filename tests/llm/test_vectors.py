@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tallyfold.llm import ann, exact_topk, vectors
@@ -130,3 +131,56 @@ def test_beam_search_finds_better_sums():
     assert loss[8] < loss[1]
     guess = ann.lookup_scores(x[:5], codes, np.ones(400, np.float32), books)
     assert np.allclose(guess, x[:5] @ coded.T, atol=1e-3)
+
+
+def test_scores_are_whole_numbers_of_any_size(spark):
+    """Against Python's integers: sums of terms beyond 2 ** 53, ties there, and scores beyond a long."""
+    rng = np.random.default_rng(6)
+    for size, dtype in ((1e6, float), (1e9, float), (1e30, float)):
+        vecs = rng.integers(-int(min(size, 1e15)), int(min(size, 1e15)), (300, 8)).astype(dtype) * max(1.0, size / 1e15)
+        vecs[50:60] = vecs[50]
+        vecs[60:90, :7], vecs[60:90, 7] = vecs[60, :7], vecs[60, 7] + np.arange(30)
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int").repartition(3)
+        whole = [[int(x) * 1024 for x in v] for v in vecs]
+        found = by_query(exact_topk.exact_top_k(df, df.where("vec_id % 30 = 0"), 40))
+        assert set(found) == set(range(0, 300, 30))
+        for q, rows in found.items():
+            score = {i: sum(a * b for a, b in zip(whole[q], w, strict=True)) for i, w in enumerate(whole) if i != q}
+            order = sorted(score, key=lambda i: (-score[i], i))[:40]
+            assert rows == [(r + 1, i, min(max(score[i], -(2**63)), 2**63 - 1)) for r, i in enumerate(order)], size
+
+
+def test_vectors_of_each_length_among_their_own(spark):
+    df = table(spark, [[1, 0], [0, 1], [2, 2], [1, 0, 0], [1, 1, 0], [5]])
+    for search in (exact_topk.exact_top_k, ann.nearest):
+        found = by_query(search(df, df.where("vec_id in (0, 1, 2, 3, 5)"), 5))
+        assert {q: [v for _, v, _ in x] for q, x in found.items()} == {0: [2, 1], 1: [2, 0], 2: [0, 1], 3: [4]}
+
+
+def test_equal_vectors_come_in_the_order_of_their_ids(spark):
+    rng = np.random.default_rng(7)
+    vecs = rng.normal(size=(1500, 37))
+    vecs[300:900] = vecs[300]
+    df = table(spark, vecs).repartition(3)
+    found = by_query(ann.nearest(df, df.where("vec_id in (300, 650)"), 20))
+    assert [v for _, v, _ in found[300]] == list(range(301, 321)) and [v for _, v, _ in found[650]] == list(range(300, 320))
+    assert len({s for _, _, s in found[300]}) == 1
+
+
+@pytest.mark.parametrize(("n", "d", "spread"), [(20_000, 64, 0.5), (8192, 384, None)])
+def test_recall_with_default_parameters(spark, n, d, spread):
+    """Of clustered vectors and, the hard case, of those without any structure; queries are a fiftieth of the rows."""
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(n, d)).astype(np.float32)
+    if spread:
+        vecs = rng.normal(size=(200, d))[rng.integers(0, 200, n)].astype(np.float32) + spread * vecs
+    frame = pd.DataFrame({"vec_id": np.arange(n), "embedding": vecs.tolist(), "label": 0})
+    df = spark.createDataFrame(frame, "vec_id long, embedding array<float>, label int").repartition(4)
+    found = by_query(ann.nearest(df, df.where("vec_id % 50 = 0"), 20))
+    wide = vecs.astype(float)
+    hits = []
+    for q in range(0, n, 50):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        hits.append(len({v for _, v, _ in found[q]} & set(np.argpartition(-score, 20)[:20].tolist())))
+    assert len(found) == len(hits) and np.mean(hits) / 20 >= 0.9
