@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.session import bounded_batches, id_crc32, map_arrow, widened
 
-#: Of each language, at most so many texts are learnt from, and so many characters of each.
+#: Of each language, at most so many texts are learnt from, and so many characters of each. A dictionary has at most
+#: DICTIONARY_BYTES of them, so where texts are long it has only the first 16 or so whole.
 SAMPLE_TEXTS, SAMPLE_CHARS = 96, 4096
 
 #: More languages than this are taken for a mistake in the labels.
@@ -107,7 +108,7 @@ def held_out():
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries from the texts and non-null languages of rows of docs (doc_id, text, lang) not held out.
 
-    The sample of a language is bounded by SAMPLE_TEXTS and SAMPLE_CHARS; its texts are those with the least
+    The sample of a language is bounded by SAMPLE_TEXTS and SAMPLE_CHARS, its dictionary by DICTIONARY_BYTES; its texts are those with the least
     hashed ids. Each task keeps its own least ones before anything is shuffled.
     """
     rows = docs.where("lang is not null and text is not null").where(~held_out())

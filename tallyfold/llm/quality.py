@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,12 @@ FEATURES = (
 #: Weights of the pooled covariance and of the diagonal, and what is added to every variance.
 POOLED, DIAGONAL, FLOOR = 0.05, 0.05, 1e-4
 
+#: Features are whole numbers of 1 / UNIT, so that their sums are exact in whatever order rows come.
+UNIT = 1 << 16
+
+#: Rows whose moments are summed up in whole numbers at a time; they stay far below the end of a long.
+SUMMED_ROWS = 1 << 20
+
 _UPPER, _LOWER, _DIGIT, _SPACE, _STOP, _SYMBOL, _HIGH = range(7)
 
 
@@ -46,38 +53,49 @@ def statistics(text: str | None) -> list[float]:
     """The FEATURES of a whole text, in order; of a null or empty one, those of no words.
 
     Shares are roots of counts over totals, where every total is enlarged by so many neutral cases that a
-    few words can't reach the shares of a junk text. Long texts go by in blocks: shares are of the whole,
-    variety and repeated lines are summed up over the blocks.
+    few words can't reach the shares of a junk text. Long texts go by in blocks; of their words and lines hashes are
+    kept, so that variety and repeated lines are those of the whole text too. Features are multiples of 1 / UNIT.
     """
     kinds = np.zeros(7, np.int64)
-    words = chars = marked = repeats = 0
-    variety, lines, lines_again = 0.0, 0, 0
-    before = b""
+    words = chars = marked = repeats = lines = 0
+    kept: list[np.ndarray] = []
+    ended: list[np.ndarray] = []
+    before, line = b"", xxhash.xxh3_64()
     for piece in blocks(text or ""):
         data = piece.encode()
         counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         kinds += np.bincount(_KINDS, weights=counts, minlength=7).astype(np.int64)
         found = data.split()
-        n = len(found)
-        words += n
+        words += len(found)
         chars += sum(map(len, found))
         marked += sum(w[-1] in _ENDS for w in found)
         repeats += sum(map(bytes.__eq__, found, found[1:])) + (bool(found) and found[0] == before)
         before = found[-1] if found else before
-        if n:
-            variety += n * np.log(len(set(found))) / np.log(n) if n > 1 else n
-            split = data.split(b"\n")
-            lines += len(split)
-            lines_again += len(split) - len(set(split))
+        distinct = set(found)
+        kept.append(np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)))
+        first, *others = data.split(b"\n")
+        line.update(first)
+        if others:  # the line before ends here, the last one goes on in the next block
+            whole = [line.intdigest(), *map(xxhash.xxh3_64_intdigest, others[:-1])]
+            ended.append(np.array(whole, np.uint64))
+            line = xxhash.xxh3_64(others[-1])
+    ended.append(np.array([line.intdigest()], np.uint64))
+    lines_again = variety = 0
+    if words:
+        lines = sum(map(len, ended))
+        lines_again = lines - len(np.unique(np.concatenate(ended)))
+        distinct_words = len(kept[0]) if len(kept) == 1 else len(np.unique(np.concatenate(kept)))
+        variety = words * np.log(distinct_words) / np.log(words) if words > 1 else words
     letters = kinds[_UPPER] + kinds[_LOWER]
     size = max(1, int(kinds.sum()))
     share = lambda x, of, more: float(np.sqrt(x / (of + more)))
-    return [
+    found = [
         float(np.log1p(words)), float(np.log((chars + 55) / (words + 10))), share(kinds[_UPPER] + 3, letters, 100),
         share(kinds[_SYMBOL], size, 100), share(kinds[_STOP] + 2, size, 100), share(kinds[_DIGIT], size, 100),
         share(marked, words, 20), share(repeats, words, 20), float((variety + 20) / (words + 20)),
         share(lines_again, lines, 10), share(kinds[_HIGH], size, 100),
     ]
+    return [round(x * UNIT) / UNIT for x in found]
 
 
 @dataclass(frozen=True)
@@ -128,36 +146,46 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's moments by class: one row for each class, 1 + d + d * d numbers."""
+    """Moments by class, in whole units: of each class rows of 1 + d + d * d numbers that add up to them."""
     d = len(FEATURES)
-    total = np.zeros((2, 1 + d + d * d))
-    for batch in batches:
-        if not batch.num_rows:
+
+    def batch() -> pa.RecordBatch:
+        rows = pa.array([0, 1], pa.int32()), pa.array(total.tolist(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(list(rows), ["label", "moments"])
+
+    total, n = np.zeros((2, 1 + d + d * d), np.int64), 0
+    for rows in batches:
+        if not rows.num_rows:
             continue
-        x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-        label = batch.column("label").to_numpy(zero_copy_only=False)
+        x = rows.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        x = np.rint(x * UNIT).astype(np.int64)
+        label = rows.column("label").to_numpy(zero_copy_only=False)
         for c in (0, 1):
             own = x[label == c]
             total[c] += np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel()))
-    rows = pa.array([0, 1], pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))
-    yield pa.RecordBatch.from_arrays(list(rows), ["label", "moments"])
+        n += len(x)
+        if n >= SUMMED_ROWS:
+            yield batch()
+            total, n = np.zeros_like(total), 0
+    yield batch()
 
 
 def train(features: DataFrame, labels: DataFrame) -> Model:
     """Fit to all rows of features (doc_id, features) that labels (doc_id, label 0 or 1) has.
 
-    Moments are summed up in the tasks; the driver gets one row per class. Labels other than 0 and 1 and
-    null ids take no part; a document with several labels counts once for each.
+    Moments are summed up in the tasks, in whole numbers; the driver gets one row per class and moment. Labels other
+    than 0 and 1 and null ids take no part; a document with several labels counts once for each.
     """
     d = len(FEATURES)
     known = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int"))
     parts = known.join(features, "doc_id").select("label", "features").mapInArrow(
-        _moments, "label int, moments array<double>"
+        _moments, "label int, moments array<long>"
     )
-    summed = parts.select("label", F.posexplode("moments")).groupBy("label", "pos").agg(F.sum("col").alias("sum"))
+    summed = parts.select("label", F.posexplode("moments")).groupBy("label", "pos")
     total = np.zeros((2, 1 + d + d * d))
-    for row in summed.collect():  # 2 * (1 + d + d * d) rows
-        total[row["label"], row["pos"]] = row["sum"]
+    for row in summed.agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("sum")).collect():  # 2 * (1 + d + d * d) rows
+        scale = 1 if row["pos"] == 0 else UNIT if row["pos"] <= d else UNIT * UNIT
+        total[row["label"], row["pos"]] = int(row["sum"]) / scale
     return fit(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d))
 
 

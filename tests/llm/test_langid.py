@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+import zstandard
 
 from tallyfold.llm import langid
 from tests.llm.conftest import prose, rows, with_clashes
@@ -74,3 +75,25 @@ def test_ties_are_rejected():
 def test_kept_columns(odd_docs):
     found = langid.identify(with_clashes(odd_docs, "margin", "extra"), {"x": b"text"})
     assert found.columns == [*odd_docs.columns, "extra", "lang_pred", "score", "margin", "rejected"]
+
+
+def test_against_a_plain_loop(spark, sf_dir):
+    """Every block of every text compressed anew with every dictionary."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dictionaries = langid.learn(docs)
+    assert all(len(d) <= langid.DICTIONARY_BYTES for d in dictionaries.values())
+
+    def size(data, content):
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        plain = zstandard.ZstdCompressor(dict_data=made, level=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+        start = content[: langid.CARRIER_BYTES] + b" "
+        blocks = [data[i : i + langid.BLOCK_BYTES] for i in range(0, len(data), langid.BLOCK_BYTES)]
+        return sum(len(plain.compress(start + b)) - len(plain.compress(start)) for b in blocks)
+
+    found = {r["doc_id"]: r for r in langid.languages(docs).collect()}
+    for r in docs.where("doc_id % 4 = 0").collect():
+        sizes = {name: size(r["text"].lower().encode(), content) for name, content in sorted(dictionaries.items())}
+        least, second = sorted(sizes.values())[:2]
+        got = found[r["doc_id"]]
+        assert got["lang_pred"] == min(sizes, key=sizes.get)
+        assert got["rejected"] == ((second - least) / max(1, second) < langid.MARGIN)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyfold.llm import quality
+from tallyfold.llm import quality, text
 from tests.llm.conftest import prose, with_clashes
 
 
@@ -78,3 +78,39 @@ def test_statistics_of_blocks(monkeypatch):
     parts = dict(zip(quality.FEATURES, np.abs(np.array(quality.statistics(value)) - whole), strict=True))
     assert all(d < 1e-9 for k, d in parts.items() if k not in ("variety", "repeated_lines"))
     assert len(whole) == len(quality.FEATURES)
+
+
+def test_the_query_against_a_plain_version(spark, sf_dir):
+    """Features, moments and scores of every document in a plain loop."""
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    x = {i: np.array(quality.statistics(t)) for i, t in texts.items()}
+    learnt = [(x[r["doc_id"]], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    score = {}
+    means = {c: np.mean([v for v, k in learnt if k == c], axis=0) for c in (0, 1)}
+    spread = {c: np.cov(np.array([v for v, k in learnt if k == c]).T, bias=True) for c in (0, 1)}
+    share = {c: sum(k == c for _, k in learnt) for c in (0, 1)}
+    pooled = sum(spread[c] * share[c] for c in (0, 1)) / len(learnt)
+    for i, v in x.items():
+        logs = []
+        for c in (0, 1):
+            cov = (1 - quality.POOLED) * spread[c] + quality.POOLED * pooled
+            cov = (1 - quality.DIAGONAL) * cov + quality.DIAGONAL * np.diag(np.diag(cov)) + quality.FLOOR * np.eye(len(v))
+            z = v - means[c]
+            logs.append(np.log((share[c] + 0.5) / (len(learnt) + 1)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * z @ np.linalg.solve(cov, z))
+        score[i] = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    found = quality.quality(docs, labels).collect()
+    assert len(found) == len(score) and all(r["score"] == pytest.approx(score[r["doc_id"]], abs=1e-6) for r in found)
+
+
+def test_features_are_those_of_the_whole_text(monkeypatch):
+    """Words and lines that repeat far apart count as repeated, whatever the blocks."""
+    half = "\n".join(prose(i, 12) for i in range(40)) + "\n"
+    values = [half + half, prose(1, 300), "a\nb c\n\nd", "one " * 50, "x", ""]
+    whole = [quality.statistics(v) for v in values]
+    for size in (7, 64):
+        monkeypatch.setattr(quality, "blocks", lambda t, size=size: text.blocks(t, size))
+        assert [quality.statistics(v) for v in values] == whole
+    assert whole[0][quality.FEATURES.index("repeated_lines")] > 0.6
