@@ -28,7 +28,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Words with their encodings, and judged pairs of tokens, that a worker keeps at most before it starts
 #: anew; they change no result.
-KEPT_WORDS, KEPT_PAIRS = 200_000, 300_000
+KEPT_WORDS, KEPT_PAIRS = 500_000, 500_000
 
 #: Characters of text whose words are held at a time.
 BLOCK = 1 << 20
@@ -71,8 +71,7 @@ class Tokenizer:
         self.rank = rank
         self.id_of = [spelt[token] for token in self.bytes_of]
         self.packed = [i.to_bytes(4, "little") for i in self.id_of]
-        self.longest = max(map(len, self.bytes_of))
-        self.endings = self._endings()
+        self.suffixes = self._suffixes()
         self.spelling = {i: token for token, i in spelt.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
@@ -84,12 +83,10 @@ class Tokenizer:
         self.cache: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
 
-    def _endings(self) -> list[tuple[int, ...]]:
-        """For each last byte, the lengths of the tokens that end with it, longest first."""
-        lengths: list[set[int]] = [set() for _ in range(256)]
-        for token in self.bytes_of:
-            lengths[token[-1]].add(len(token))
-        return [tuple(sorted(x, reverse=True)) for x in lengths]
+    def _suffixes(self) -> dict[bytes, int]:
+        """Every suffix of every token, with the token it is itself, or -1."""
+        found = {token[at:]: -1 for token in self.bytes_of for at in range(1, len(token))}
+        return found | self.rank
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves a border between two adjacent tokens, each encoded as itself.
@@ -127,7 +124,7 @@ class Tokenizer:
 
     def _learn(self, words: Iterable[str]) -> None:
         """Encode distinct words by going through their trie depth first."""
-        rank, endings, stays_apart = self.rank, self.endings, self.stays_apart
+        suffix, lengths, stays_apart = self.suffixes.get, list(map(len, self.bytes_of)), self.stays_apart
         path = b""
         last: list[int] = []  # the last token of each prefix of path, by length - 1
         for word, spelt in sorted(((w, w.encode()) for w in words), key=lambda x: x[1]):
@@ -136,11 +133,14 @@ class Tokenizer:
                 shared += 1
             del last[shared:]
             for end in range(shared + 1, len(spelt) + 1):
-                for length in endings[spelt[end - 1]]:
-                    if length > end:
-                        continue
-                    token = rank.get(spelt[end - length : end])
-                    if token is not None and (length == end or stays_apart(last[end - length - 1], token)):
+                at, tokens = end - 1, []  # the tokens that end here, shortest first
+                while at >= 0 and (token := suffix(spelt[at:end])) is not None:
+                    if token >= 0:
+                        tokens.append(token)
+                    at -= 1
+                for token in reversed(tokens):
+                    start = end - lengths[token]
+                    if not start or stays_apart(last[start - 1], token):
                         last.append(token)
                         break
             path = spelt
