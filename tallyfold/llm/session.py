@@ -22,8 +22,8 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints"
 #: Python stages get batches of at most so many rows and bytes, whatever the length of a text.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
-#: Rows of a few numbers up to which small() broadcasts a table: some MB.
-BROADCAST_ROWS = 400_000
+#: Rows, and bytes on disk, up to which small() broadcasts a table.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 24 << 20
 
 #: Short rows in one partition of a table whose size is known beforehand.
 FILE_ROWS = 250_000
@@ -95,11 +95,22 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A materialised table of short rows, to be broadcast if it has at most BROADCAST_ROWS of them.
+    """A materialised table, to be broadcast if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES on disk.
 
     Beyond that Spark joins it as it finds best, by a shuffle.
     """
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    fits = _bytes_on_disk(table) <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
+    return F.broadcast(table) if fits else table
+
+
+def _bytes_on_disk(table: DataFrame) -> int:
+    """The size of the folder that a materialised table is in."""
+    files = table.inputFiles()
+    if not files:
+        return 0
+    context = table.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    return folder.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
 
 
 def dealt_join(rows: DataFrame, led: DataFrame, key: str, how: str = "inner") -> DataFrame:
