@@ -31,7 +31,7 @@ SAMPLE_ROWS, FIT_ROUNDS, SEED = 8192, 6, 7
 #: Rows of each shard (of vectors.SHARD_ROWS at most) that are scored exactly for every query, at least. Codes tell
 #: little of vectors without structure, so how many they must be is measured on a quarter of the sample that the
 #: codebooks aren't fitted to: as many as have this share of the nearest among them.
-RERANK, RERANK_SHARE, TRIALS, NEAREST = 256, 0.98, 96, 5
+RERANK, RERANK_SHARE, TRIALS, NEAREST = 256, 0.95, 96, 5
 
 _RESULT = "query_id long, rank int, vec_id long, score double"
 _FOUND = "query int, query_id long, vec_id long, score double"
@@ -165,7 +165,7 @@ def build_index(rows: DataFrame, books: np.ndarray) -> DataFrame:
 def _search_shard(shard: dict, state: dict[int, tuple], sent: dict, k: int, rerank: int) -> None:
     ids, queries = shard["ids"], sent["queries"]
     scale = (shard["norms"] / np.maximum(shard["coded"], 1e-12)).astype(np.float32)
-    keep = min(len(ids), rerank + 1)
+    keep, largest = min(len(ids), rerank + 1), float(shard["norms"].max())
     for at in range(0, len(queries), 32):
         block = queries[at : at + 32]
         guess = lookup_scores(block.astype(np.float32), shard["codes"], scale, sent["books"])
@@ -174,6 +174,10 @@ def _search_shard(shard: dict, state: dict[int, tuple], sent: dict, k: int, rera
             q = at + i
             rows = rows[ids[rows] != sent["ids"][q]]
             had = state.get(q, (np.empty(0, np.int64), np.empty(0)))
+            rough = shard["vectors"][rows] @ block[i]
+            if len(rows) > k:  # whatever rounding may bring among the k best stays
+                slack = 1e-9 * float(np.linalg.norm(block[i])) * largest
+                rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
             exact = exact_scores(shard["vectors"][rows], block[i])
             both = np.concatenate((had[0], ids[rows])), np.concatenate((had[1], exact))
             first = best(*both, k)
