@@ -56,3 +56,18 @@ def test_tables_are_broadcast_up_to_a_size_on_disk(spark, monkeypatch):
     assert "rightHint=(strategy=broadcast)" in plan() or "strategy=broadcast" in plan()
     monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
     assert "strategy=broadcast" not in plan()
+
+
+def test_lists_are_broadcast_up_to_their_size_in_memory(spark):
+    item = F.struct(F.lit(1).cast("long").alias("a"), F.lit("text").alias("b"), F.array(F.lit(1)).alias("c"))
+    wide = spark.range(1000).withColumn("found", F.array_repeat(item, 1000)).withColumn("plain", F.array_repeat(F.lit(2), 10))
+    table = session.materialise(wide, "lists")
+    assert session.bytes_on_disk(table) < 1 << 20
+    found = spark.range(10**6).join(session.small(table), "id")
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    held = table.agg(F.sum(session.unpacked_bytes(table))).first()[0]
+    assert 1000 * 1000 * 56 <= held <= 1000 * 1000 * 100
+    few = session.materialise(table.limit(3), "lists")
+    assert "strategy=broadcast" in spark.range(10**6).join(session.small(few), "id")._jdf.queryExecution().toString()
+    nulls = session.materialise(spark.createDataFrame([(1, None, None)], "id long, t string, l array<struct<x: string>>"), "nulls")
+    assert nulls.agg(F.sum(session.unpacked_bytes(nulls))).first()[0] > 0
