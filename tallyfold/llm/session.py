@@ -143,12 +143,13 @@ def dealt_join(rows: DataFrame, led: DataFrame, key: str, how: str = "inner") ->
     """The join of rows with led (one row for each key, a whole number or text) on something made of the key.
 
     led comes out of its aggregation dealt by the key. Joined on it, it wouldn't be dealt again, and Spark splits
-    a key with very many rows only where both sides of the join are dealt for it.
+    a key with very many rows only where both sides of the join are dealt for it. Rows are never broadcast: by their
+    size on disk Spark would take very many copies for few rows, and the driver would run out of memory.
     """
     text = dict(rows.dtypes)[key] == "string"
     made = F.concat(F.lit("."), F.col(key)) if text else F.col(key).bitwiseXOR(F.lit(0x5DEECE66D))
     made = made.alias("_made")
-    return rows.select("*", made).join(led.select("*", made).drop(key), "_made", how).drop("_made")
+    return rows.select("*", made).hint("merge").join(led.select("*", made).drop(key), "_made", how).drop("_made")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.llm import components, session, warc
+from tallyfold.llm import components, session, simhash, warc
 
 LOW = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
@@ -71,3 +71,10 @@ def test_lists_are_broadcast_up_to_their_size_in_memory(spark):
     assert "strategy=broadcast" in spark.range(10**6).join(session.small(few), "id")._jdf.queryExecution().toString()
     nulls = session.materialise(spark.createDataFrame([(1, None, None)], "id long, t string, l array<struct<x: string>>"), "nulls")
     assert nulls.agg(F.sum(session.unpacked_bytes(nulls))).first()[0] > 0
+
+
+def test_very_many_copies_are_not_broadcast(spark):
+    rows = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("a text that all rows have").alias("text"))
+    found = simhash.near_duplicates(rows)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.groupBy("component_id").count().collect() == [(0, 300_000)]
