@@ -111,6 +111,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
     fetches is held against its complete distance. A word that more than hot fingerprints have would be fetched
     hot times over by each of them; there the search goes on in the rest of the fingerprint, and those that meet
     are linked with the least of them, which is in reach of all: work grows with their number, not its square.
+    Balls are never broadcast: Spark, which doesn't count what explode() makes, would take them for as few rows as there
+    are fingerprints.
     """
     tables, probes = [], []
     for i, (start, width, reach) in enumerate(segments(radius)):
@@ -126,7 +128,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFram
     else:
         many = small(often)
         cold_table, cold_probe = (t.join(many, keys, "left_anti") for t in (table, probe))
-    fetched = cold_probe.join(cold_table.withColumnRenamed("fp", "other"), keys)
+    fetched = cold_probe.hint("merge").join(cold_table.withColumnRenamed("fp", "other"), keys)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
     found = fetched.where(near & (F.col("fp") != F.col("other")))
     found = found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
@@ -154,7 +156,7 @@ def _hot_links(table: DataFrame, probe: DataFrame, radius: int) -> DataFrame:
                 continue
             asked = probe.where((F.col("segment") == i) & (F.col("off") == off)).select("word", "fp", own.alias("rest"))
             asked = _flipped(asked, "rest", ball(rest, left), "code")
-            found.append(asked.join(least, ["word", "code"]).where("fp <> other").select("fp", "other"))
+            found.append(asked.hint("merge").join(least, ["word", "code"]).where("fp <> other").select("fp", "other"))
     met = reduce(DataFrame.unionByName, found)
     return met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
@@ -166,7 +168,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(groups.select("fp")), size)
     nodes = materialise(
-        groups.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+        groups.hint("merge").join(found.withColumnRenamed("node", "fp"), "fp", "left")
         .select("fp", "first", F.coalesce("component", "fp").alias("component")),
         "groups",
         size,

@@ -78,3 +78,11 @@ def test_very_many_copies_are_not_broadcast(spark):
     found = simhash.near_duplicates(rows)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.groupBy("component_id").count().collect() == [(0, 300_000)]
+
+
+def test_balls_about_fingerprints_are_not_broadcast(spark):
+    prints = session.materialise(spark.range(20_000).select(F.xxhash64("id").alias("fp")), "prints")
+    assert "BroadcastHashJoin" not in final_plan(simhash.links(prints))
+    one = F.lit(0).alias("segment"), F.lit(1).cast("long").alias("word"), "fp"
+    hot = simhash._hot_links(prints.select(*one), prints.select(*one, F.lit(0).alias("off")), simhash.RADIUS)
+    assert "BroadcastHashJoin" not in hot._jdf.queryExecution().executedPlan().toString()
