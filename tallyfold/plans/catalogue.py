@@ -17,6 +17,7 @@ from tallyfold.operators import (
     beside,
     compared_with,
     cross,
+    equal_pairs,
     inner,
     money_sum,
     ordered,
@@ -225,9 +226,10 @@ _frame(
     "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND o_orderdate < l_shipdate",
     lambda t: inner(t.orders, t.lineitem, "o_orderkey = l_orderkey", "o_orderdate < l_shipdate").select("o_orderkey", "l_linenumber"),
 )
-_sql(
+_frame(
     "join_string_key",
     "SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM part AS a JOIN part AS b ON a.p_name = b.p_name AND a.p_brand = b.p_brand",
+    lambda t: equal_pairs(t.part, "p_partkey", "p_name", "p_brand"),
 )
 _sql("join_cast_key", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_suppkey")
 _sql("join_datetime_key", "SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderdate = l_shipdate AND o_orderkey = l_orderkey")

@@ -76,3 +76,17 @@ def test_vessels_that_never_called_and_visits_of_no_vessel(harbour):
     assert harbour("SELECT title, nr FROM vessel FULL JOIN visit ON vessel.imo = visit.imo WHERE nr IS NULL OR title IS NULL ORDER BY nr NULLS FIRST") == [
         ("Jay", None), (None, 7),
     ]
+
+
+def test_pairs_of_a_large_group_are_made_by_many_tasks(spark, monkeypatch):
+    """A key that most rows have is cut into chunks; nulls pair with nothing, repeated ids with each other."""
+    from tallyfold.operators import equal_pairs, join
+
+    monkeypatch.setattr(join, "CHUNK", 50)
+    monkeypatch.setattr(join, "TASK_PAIRS", 2000)
+    groups = [(k, ("x" if k % 10 else None), k // 300) for k in [*range(330), 7]]
+    found = equal_pairs(spark.createDataFrame(groups, "k long, t string, n int"), "k", "t", "n")
+    expected = sorted((a, b) for a, t, n in groups for b, u, m in groups if t and (t, n) == (u, m))
+    assert sorted(map(tuple, found.collect())) == expected
+    each = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(each) >= 30 and max(each) < len(expected) / 2
